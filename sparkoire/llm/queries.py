@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding
+from . import neardup, secrets, sharding
 
 QUERIES = {
+    "op1_minhash_components": neardup.op1_minhash_components,
     "op4_feistel_shards": sharding.op4_feistel_shards,
     "op9_secret_ownership": secrets.op9_secret_ownership,
 }
