@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import neardup, secrets, sharding
+from . import linededup, neardup, secrets, sharding
 
 QUERIES = {
     "op1_minhash_components": neardup.op1_minhash_components,
     "op4_feistel_shards": sharding.op4_feistel_shards,
     "op9_secret_ownership": secrets.op9_secret_ownership,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
