@@ -249,5 +249,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, miss: float = MISS,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(df: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """The rows of the smallest id of each component; one row, if several share that id.  Rows with null ids stay."""
+    found = common.Scratch(df.sparkSession, "neardup").cut(near_duplicates(df, threshold).select("doc_id", "kept"))
+    kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    out = df.join(kept.select("doc_id"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    if not kept.where("n > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.union(df.where(F.col("doc_id").isNull()))
+
+
 def op1_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
