@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, neardup, packing, quality, secrets, sharding
+from . import decontam, linededup, merkle, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_minhash_components": neardup.op1_minhash_components,
     "op3_quality_qda": quality.op3_quality_qda,
     "op4_feistel_shards": sharding.op4_feistel_shards,
     "op5_cgk_decontamination": decontam.op5_cgk_decontamination,
+    "op6_merkle_fingerprints": merkle.op6_merkle_fingerprints,
     "op7_vector_packing": packing.op7_vector_packing,
     "op9_secret_ownership": secrets.op9_secret_ownership,
     "op10_line_dedup": linededup.op10_line_dedup,
