@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, merkle, neardup, packing, quality, secrets, sharding
+from . import decontam, linededup, merkle, neardup, packing, quality, secrets, sharding, substring
 
 QUERIES = {
     "op1_minhash_components": neardup.op1_minhash_components,
+    "op2_substring_repeats": substring.op2_substring_repeats,
     "op3_quality_qda": quality.op3_quality_qda,
     "op4_feistel_shards": sharding.op4_feistel_shards,
     "op5_cgk_decontamination": decontam.op5_cgk_decontamination,
