@@ -187,6 +187,22 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[l
         yield [r[0] for r in rows], [bytes(r[1]) for r in rows]
 
 
+def scan(raw: list[bytes], index: Index, tables: textops.Tables) -> list[tuple[tuple[int, int], tuple[int, int, int]]]:
+    """((text, item), (fewest edits, begin, end)) of a batch."""
+    at, texts, seeds = [], [], []
+    for lo, hi in textops.steps(raw):
+        hashes, first, _, _ = textops.words(raw[lo:hi], tables, lower=True)
+        own: dict[int, list] = {}
+        for p, n, place in index.seeds(hashes):
+            i = int(np.searchsorted(first, p, "right")) - 1
+            own.setdefault(i, []).append((p - int(first[i]), n, place))
+        for i, s in own.items():
+            at.append(lo + i)
+            texts.append(hashes[first[i] : first[i + 1]].copy())
+            seeds.append(s)
+    return [((at[i], item), span) for (i, item), span in sorted(index.leaks(texts, seeds).items())]
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and each item of which it holds a copy: doc_id, item_id, begin, end (words), n_edits.
 
@@ -198,36 +214,28 @@ def contaminated(df: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, i
     returned as they are.  Items that are null, or shorter than LEAST_WORDS,
     aren't looked for; equal items are each reported.  Of several copies of an
     item the one with the fewest edits is reported, then the first.  Repeated
-    rows are each reported.  Empty tables give an empty result.
+    rows are each reported.  Empty tables give an empty result.  Further columns
+    aren't read.
     """
     common.need(benchmark, item_col, item_text_col)
     raw = common.ids_and_text(df, id_col, text_col).where(F.length("text") > 0).select("doc_id", F.encode("text", "UTF-8").alias("raw"))
     kind, item_kind = raw.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
-    for ids, texts in blocks(benchmark, item_col, item_text_col):
-        index = df.sparkSession.sparkContext.broadcast((ids, texts))
+    for block in blocks(benchmark, item_col, item_text_col):
+        sent = df.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, index=index):
-            names, items = index.value
-            found, tables = Index(items, rate), textops.Tables()
+        def run(batches, sent=sent):
+            names, items = sent.value
+            index, tables = Index(items, rate), textops.Tables()
             for b in batches:
-                raw, at, texts, seeds = b.column("raw").to_pylist(), [], [], []
-                for lo, hi in textops.steps(raw):
-                    hashes, first, _, _ = textops.words(raw[lo:hi], tables, lower=True)
-                    own: dict[int, list] = {}
-                    for p, n, place in found.seeds(hashes):
-                        i = int(np.searchsorted(first, p, "right")) - 1
-                        own.setdefault(i, []).append((p - int(first[i]), n, place))
-                    for i, s in own.items():
-                        at.append(lo + i)
-                        texts.append(hashes[first[i] : first[i + 1]].copy())
-                        seeds.append(s)
-                leaks = sorted(found.leaks(texts, seeds).items())
-                rows, owners, spans = [at[i] for (i, _), _ in leaks], [names[item] for (_, item), _ in leaks], [span for _, span in leaks]
-                distance, begin, end = np.array(spans, np.int64).reshape(-1, 3).T
+                found = scan(b.column("raw").to_pylist(), index, tables)
+                distance, begin, end = np.array([span for _, span in found], np.int64).reshape(-1, 3).T
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(owners, schema_type), pa.array(begin), pa.array(end), pa.array(distance)],
+                    [
+                        b.column("doc_id").take(pa.array([i for (i, _), _ in found], pa.int64())), pa.array([names[item] for (_, item), _ in found], item_type),
+                        pa.array(begin), pa.array(end), pa.array(distance),
+                    ],
                     ["doc_id", "item_id", "begin", "end", "n_edits"],
                 )
 
@@ -237,13 +245,24 @@ def contaminated(df: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, i
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of documents that hold no copy of an item; null ids are judged by their own text."""
-    key = F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.col("text").cast("string")))
-    keyed = df.withColumn("_key", key)
-    if "_key" in df.columns:
-        raise ValueError("column _key is added by this operator")
-    leaks = contaminated(keyed.select("_key", "text"), benchmark, rate, id_col="_key")
-    return keyed.join(leaks.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows whose text holds no copy of an item, all columns kept; null and empty texts stay."""
+    common.need(df, "text")
+    columns, names = df.columns, [f"c{i}" for i in range(len(df.columns))]
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema, strict=True))
+    out = df.toDF(*names)
+    for _, texts in blocks(benchmark, "item_id", "text"):
+        sent = df.sparkSession.sparkContext.broadcast(texts)
+
+        def run(batches, sent=sent):
+            index, tables = Index(sent.value, rate), textops.Tables()
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[i for (i, _), _ in scan(b.column("raw").to_pylist(), index, tables)]] = False
+                yield b.select(names).filter(pa.array(clean, pa.bool_()))
+
+        text = F.coalesce(F.col(names[columns.index("text")]).cast("string"), F.lit(""))
+        out = out.withColumn("raw", F.encode(text, "UTF-8")).mapInArrow(run, schema)
+    return out.toDF(*columns)
 
 
 def op5_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

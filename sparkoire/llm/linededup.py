@@ -102,7 +102,7 @@ def neighbourhoods(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     ["line", "words", "variants"],
                 )
 
-    return texts.join(lists, "doc").select("raw", "wanted").mapInArrow(run, "line binary, words binary, variants array<long>")
+    return texts.join(lists.hint("shuffle_hash"), "doc").select("raw", "wanted").mapInArrow(run, "line binary, words binary, variants array<long>")
 
 
 def earlier_neighbours(around: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch.release()
     lines = F.split(text, "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    out = df.withColumn("_doc", doc).join(gone, "_doc", "left")
+    out = df.withColumn("_doc", doc).join(gone.hint("shuffle_hash"), "_doc", "left")
     return out.select(
         *[F.col(f"`{c}`") for c in df.columns],
         F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),

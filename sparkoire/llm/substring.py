@@ -104,7 +104,7 @@ def extended(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    joined = texts.join(wanted, "doc_id").select("doc", "doc_id", "raw", "whole", "part")
+    joined = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc", "doc_id", "raw", "whole", "part")
     return joined.mapInArrow(run, f"doc binary, doc_id {kind}, ranges array<long>, anchors array<long>, windows array<long>, starts array<long>")
 
 
@@ -190,7 +190,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [b.column("doc_id"), *map(pa.array, columns, (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))], ["doc_id", "n_words", "n_removed", "spans", "kept_text"]
             )
 
-    joined = texts.join(gone, "doc", "left").select("doc_id", "raw", "ranges", "starts")
+    joined = texts.join(gone.hint("shuffle_hash"), "doc", "left").select("doc_id", "raw", "ranges", "starts")
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, spans array<array<long>>, kept_text string")
 
 
