@@ -23,7 +23,7 @@ BATCH = 16
 #: A candidate is pruned once its similarity is at least the threshold with a smaller posterior probability.
 MISS = 1e-6
 #: Members of a bucket that one task compares at a time.
-BLOCK = 256
+BLOCK = 512
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, scratch: comm
     """Those (a, b) whose whole sets are similar enough; in integers, 100 * common >= 100 * threshold * union."""
     per_cent = round(100 * threshold)
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    there = scratch.cut(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "raw"))
+    there = scratch.cut(texts.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "raw"))
     both = (
         pairs.join(there.select(F.col("doc_id").alias("a"), F.col("raw").alias("raw_a")), "a")
         .join(there.select(F.col("doc_id").alias("b"), F.col("raw").alias("raw_b")), "b")
@@ -168,39 +168,66 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: float, miss: float)
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def across(members: DataFrame, nodes: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Plausible pairs of different components within buckets (key, id, component).
+def links_of(left: np.ndarray, right: np.ndarray, component: np.ndarray, sigs: np.ndarray, keys: np.ndarray, key: int, sets: list[np.ndarray], threshold: float, miss: float) -> list[tuple[int, int]]:
+    """Verified links (i, j), i in left and j in right, that join components.
 
-    A bucket is cut into blocks of BLOCK members; each pair of blocks meets in a
-    task of its own, where the signatures are compared as arrays and only
-    plausible pairs leave it.
+    A pair is tested in the first bucket that it shares, and only while its
+    components are apart; so a tight group costs a link for each member, and no
+    pair that isn't a link leaves the task.
     """
+    per_cent, sizes = round(100 * threshold), np.array([s.size for s in sets])
+    component, found = component.copy(), []
+    for i in left.tolist():
+        others = right[(right > i) & (component[right] != component[i])] if left is right else right[component[right] != component[i]]
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[100 * low >= per_cent * high]
+        others = others[survives(np.broadcast_to(sigs[i], (others.size, HASHES)), sigs[others], threshold, miss)]
+        same = keys[others] == keys[i]
+        others = others[keys[i][same.argmax(axis=1)] == key] if others.size else others
+        for j in others.tolist():
+            if component[i] != component[j]:
+                shared = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+                if 100 * shared >= per_cent * (sizes[i] + sizes[j] - shared):
+                    found.append((i, j))
+                    component[component == component[j]] = component[i]
+    return found
+
+
+def across(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, miss: float, scratch: common.Scratch) -> DataFrame:
+    """Links between different components within buckets (key, id, component).
+
+    A bucket is cut into blocks of about BLOCK members; each pair of blocks meets
+    in a task of its own with signatures and texts.
+    """
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    there = scratch.cut(
+        texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.md5("raw").alias("hash"), "raw")
+        .join(nodes.hint("shuffle_hash"), ["id", "hash"]).select("id", "raw", "signature", "bands")
+    )
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     placed = sized.select("key", "id", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.select(
         "key", "id", "component", "block",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))).alias("pair"),
-    ).join(nodes.select("id", "signature"), "id")
+    ).join(there, "id")
     kind = members.schema["id"].dataType.simpleString()
 
     def run(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        block, ids, comp = table.column("block").to_numpy(), table.column("id").combine_chunks(), table.column("component").combine_chunks()
-        code = comp.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        sig = as_signatures(table.column("signature"))
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        found = []
-        for i in left:
-            others = right[(right > i) if low == high else slice(None)]
-            others = others[code[others] != code[i]]
-            if others.size:
-                found += [(i, j) for j in others[survives(np.broadcast_to(sig[i], (others.size, HASHES)), sig[others], threshold, miss)]]
+        ids, block = table.column("id").combine_chunks(), table.column("block").to_numpy()
+        component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        left = np.flatnonzero(block == key[1].as_py())
+        right = left if key[1] == key[2] else np.flatnonzero(block == key[2].as_py())
+        keys = np.array(table.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        sets = list(each_text(table.column("raw").to_pylist(), textops.Tables()))
+        found = links_of(left, right, component, as_signatures(table.column("signature")), keys, key[0].as_py(), sets, threshold, miss)
         i, j = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))})
 
-    grouped = met.select("key", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "block", "id", "component", "signature").groupBy("key", "low", "high")
-    return grouped.applyInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    grouped = met.select("key", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), "block", "id", "component", "signature", "bands", "raw").groupBy("key", "low", "high")
+    out = scratch.cut(grouped.applyInArrow(run, f"a {kind}, b {kind}"))
+    scratch.drop(there)
+    return out
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.75, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,6 +254,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, miss: float = MISS,
     described = scratch.cut(describe(texts))
     full = described.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     nodes = scratch.cut(full.groupBy("hash").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    # The plans that move whole texts are the same at every size: one hash exchange, no sort.
     keyed = nodes.select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = scratch.cut(keyed.join(shared, "key").select("key", "low", "id"))
@@ -238,12 +266,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, miss: float = MISS,
     linked = scratch.cut(components(first.union(copies), scratch))
     marked = members.select("key", "id").distinct().join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    rest = scratch.cut(across(scratch.cut(marked.join(mixed, "key", "left_semi")), nodes, threshold, miss))
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = scratch.cut(rest.join(tested, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        second = verified(rest, sources, threshold, scratch)
-        linked = scratch.cut(components(first.union(second).union(copies), scratch))
+    second = across(scratch.cut(marked.join(mixed, "key", "left_semi")), nodes, sources, threshold, miss, scratch)
+    scratch.release()
+    if not second.isEmpty():
+        linked = scratch.cut(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second), scratch))
     out = described.select("doc_id", "n_shingles").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
@@ -253,7 +279,7 @@ def keep_one(df: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The rows of the smallest id of each component; one row, if several share that id.  Rows with null ids stay."""
     found = common.Scratch(df.sparkSession, "neardup").cut(near_duplicates(df, threshold).select("doc_id", "kept"))
     kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    out = df.join(kept.select("doc_id"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    out = df.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
     if not kept.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.union(df.where(F.col("doc_id").isNull()))
