@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, merkle, neardup, packing, quality, secrets, sharding, substring
+from . import decontam, linededup, merkle, neardup, packing, quality, secrets, sharding, substring, suffix
 
 QUERIES = {
     "op1_minhash_components": neardup.op1_minhash_components,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_cgk_decontamination": decontam.op5_cgk_decontamination,
     "op6_merkle_fingerprints": merkle.op6_merkle_fingerprints,
     "op7_vector_packing": packing.op7_vector_packing,
+    "op8_suffix_repeats": suffix.op8_suffix_repeats,
     "op9_secret_ownership": secrets.op9_secret_ownership,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
