@@ -62,7 +62,7 @@ class WordTokenizer:
         if len(self.words) > REMEMBERED:
             self.words = {"": b""}
         known, odd = self.words, []
-        for w in set(words) - known.keys():
+        for w in {w for w in words if w not in known}:
             core = w.rstrip(".,")
             if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
                 if core not in known:
