@@ -126,7 +126,7 @@ def translate_codons(s) -> Column:
     table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
     n = F.floor(F.length(bases) / 3).cast("int")
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(places, lambda i: F.coalesce(F.get(F.array(F.element_at(table, F.substring(bases, i * 3 + 1, F.lit(3)))), F.lit(0)), F.lit("X"))), "")
+    return F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at(table, F.substring(bases, i * 3 + 1, F.lit(3))), F.lit("X"))), "")
 
 
 def reverse_complement(s) -> Column:
