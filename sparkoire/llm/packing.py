@@ -19,7 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 4096
 #: Words that a worker remembers; beyond, it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Pieces that one task packs at most, about; tasks share no sequence, so each may leave one part empty.
 GROUP_PIECES = 8192
 
