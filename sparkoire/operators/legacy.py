@@ -112,5 +112,6 @@ def mutation_track(rows: DataFrame, query: str, germline: str, group: list[str],
 
 def hotspots(rows: DataFrame, sequence: str, motifs: list[str], group: list[str]) -> DataFrame:
     """Occurrences of each motif, overlapping ones too."""
-    counts = [F.size(F.filter(seq.kmers(sequence, len(m)), lambda x, m=m: x == m)) for m in motifs]
+    equals = lambda m: lambda x: x == F.lit(m)
+    counts = [F.size(F.filter(seq.kmers(sequence, len(m)), equals(m))) for m in motifs]
     return rows.groupBy(*group).agg(*[F.sum(c).cast("long").alias(m) for m, c in zip(motifs, counts, strict=True)])

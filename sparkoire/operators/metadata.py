@@ -91,7 +91,7 @@ def loci(df: DataFrame, flags: dict[str, str]) -> DataFrame:
 def presence(df: DataFrame, locus: str) -> DataFrame:
     """has_BCR and has_TCR, exactly one of them true."""
     assert_none(df, ~F.col(locus).isin("BCR", "TCR"), "unknown locus")
-    return df.withColumn("has_BCR", F.col(locus) == "BCR").withColumn("has_TCR", F.col(locus) == "TCR")
+    return df.withColumns({f"has_{x}": F.col(locus) == x for x in ("BCR", "TCR")})
 
 
 def defaults(df: DataFrame, sources: dict[str, str]) -> DataFrame:
