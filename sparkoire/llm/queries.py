@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontam, linededup, merkle, neardup, packing, quality, secrets, sharding, substring, suffix
+from .oracles import ORACLES  # noqa: F401  part of the registration
 
 QUERIES = {
     "op1_minhash_components": neardup.op1_minhash_components,
@@ -16,5 +17,3 @@ QUERIES = {
     "op9_secret_ownership": secrets.op9_secret_ownership,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
-
-ORACLES: dict[str, str] = {}

@@ -84,11 +84,3 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(common.documents(spark, sf_dir))
 
 
-def crc_table() -> str:
-    """SQL list of the 256 steps of the reflected CRC-32 polynomial."""
-    table = []
-    for i in range(256):
-        for _ in range(8):
-            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
-        table.append(i)
-    return "[" + ",".join(map(str, table)) + "]"
