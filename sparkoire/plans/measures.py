@@ -54,14 +54,14 @@ def kbet_rejection(spark, sf):
 _FREQ_SQL = "f AS (SELECT disease, v_gene, count(*) / sum(count(*)) OVER (PARTITION BY disease) AS f FROM r GROUP BY 1, 2)"
 
 
-@query(sql(f", {_FREQ_SQL} SELECT a.disease AS a, b.disease AS b, round(sqrt(sum(pow(a.f - b.f, 2))), 6) AS euclidean, round(1 - sum(a.f * b.f) / (sqrt(sum(a.f * a.f)) * sqrt(sum(b.f * b.f))), 6) AS cosine FROM f a JOIN f b ON a.v_gene = b.v_gene AND a.disease <= b.disease GROUP BY 1, 2"))
+@query(sql(f", {_FREQ_SQL} SELECT a.disease AS a, b.disease AS b, round(sqrt(sum(pow(a.f - b.f, 2))), 6) AS euclidean, round(1 - sum(a.f * b.f) / (sqrt(sum(a.f * a.f)) * sqrt(sum(b.f * b.f))), 6) + 0.0 AS cosine FROM f a JOIN f b ON a.v_gene = b.v_gene AND a.disease <= b.disease GROUP BY 1, 2"))
 def pairwise_distance(spark, sf):
     f = comp.frequencies(rows(spark, sf, ["disease", "v_gene"]), ["disease"], ["v_gene"])
     a, b = (f.select(F.col("disease").alias(n), "v_gene", F.col("frequency").alias(f"f{n}")) for n in ("a", "b"))
     met = a.join(b, "v_gene").where("a <= b").groupBy("a", "b")
     square = lambda x, y: F.sum(F.col(x) * F.col(y))
     out = met.agg(F.sqrt(F.sum(F.pow(F.col("fa") - F.col("fb"), F.lit(2)))).alias("euclidean"), (1 - square("fa", "fb") / (F.sqrt(square("fa", "fa")) * F.sqrt(square("fb", "fb")))).alias("cosine"))
-    return rounded(out, "euclidean", "cosine")
+    return rounded(out, "euclidean", "cosine").withColumn("cosine", F.col("cosine") + 0.0)
 
 
 _EV = "SELECT event_type, floor(value) AS x, floor(value) * 0.5 + user_id AS y FROM events"

@@ -62,12 +62,12 @@ def specimen_gate(spark, sf):
     return kept.groupBy("specimen_label", "isotype_supergroup").agg(F.count("*").alias("clones"), F.sum("num_reads").alias("reads"))
 
 
-def _round(df, *names, digits=6):
+def _round(df, *names, digits=9):
     return df.withColumns({n: F.round(F.col(f"`{n}`"), digits) for n in names})
 
 
 VJ_SQL = f""", s AS ({SAMPLED_SQL}), n AS (SELECT specimen_label, isotype_supergroup, v_gene, j_gene, %s AS n FROM s GROUP BY ALL)
-SELECT specimen_label, isotype_supergroup, v_gene, j_gene, round(n / sum(n) OVER (PARTITION BY specimen_label, isotype_supergroup), 6) AS frequency FROM n"""
+SELECT specimen_label, isotype_supergroup, v_gene, j_gene, round(n / sum(n) OVER (PARTITION BY specimen_label, isotype_supergroup), 9) AS frequency FROM n"""
 
 
 @query(sql(VJ_SQL % "count(*)"))
@@ -83,7 +83,7 @@ def vj_frequency_weighted(spark, sf):
 
 
 MATRIX_SQL = f""", s AS ({SAMPLED_SQL}) SELECT specimen_label, """ + ", ".join(
-    f"round(sum(CASE WHEN v_gene = '{v}' THEN 1 ELSE 0 END) / sum(CASE WHEN v_gene IN ({', '.join(repr(x) for x in V_GENES)}) THEN 1 ELSE 0 END), 6) AS \"{v}\"" for v in V_GENES
+    f"round(sum(CASE WHEN v_gene = '{v}' THEN 1 ELSE 0 END) / sum(CASE WHEN v_gene IN ({', '.join(repr(x) for x in V_GENES)}) THEN 1 ELSE 0 END), 9) AS \"{v}\"" for v in V_GENES
 ) + " FROM s GROUP BY 1"
 
 
@@ -93,14 +93,14 @@ def vj_matrix(spark, sf):
     return _round(composition.normalised(matrix, V_GENES), *V_GENES)
 
 
-@query(sql("SELECT specimen_label, isotype_supergroup, round(median(v_mut), 6) AS v_mut_median FROM r GROUP BY ALL"))
+@query(sql("SELECT specimen_label, isotype_supergroup, round(median(v_mut), 9) AS v_mut_median FROM r GROUP BY ALL"))
 def vmut_median(spark, sf):
-    return rows(spark, sf, ["specimen_label", "isotype_supergroup", "v_mut"]).groupBy("specimen_label", "isotype_supergroup").agg(F.round(F.median("v_mut"), 6).alias("v_mut_median"))
+    return rows(spark, sf, ["specimen_label", "isotype_supergroup", "v_mut"]).groupBy("specimen_label", "isotype_supergroup").agg(F.round(F.median("v_mut"), 9).alias("v_mut_median"))
 
 
 WM_SQL = """, w AS (SELECT specimen_label, v_mut AS x, sum(num_reads) AS w FROM r WHERE v_mut IS NOT NULL GROUP BY 1, 2),
 u AS (SELECT *, sum(w) OVER (PARTITION BY specimen_label ORDER BY x) AS upto, sum(w) OVER (PARTITION BY specimen_label) AS total, lead(x) OVER (PARTITION BY specimen_label ORDER BY x) AS after FROM w)
-SELECT specimen_label, round(CASE WHEN 2 * upto = total AND after IS NOT NULL THEN (x + after) / 2 ELSE x END, 6) AS weighted_median FROM u WHERE 2 * upto >= total AND 2 * (upto - w) < total"""
+SELECT specimen_label, round(CASE WHEN 2 * upto = total AND after IS NOT NULL THEN (x + after) / 2 ELSE x END, 9) AS weighted_median FROM u WHERE 2 * upto >= total AND 2 * (upto - w) < total"""
 
 
 @query(sql(WM_SQL))
@@ -108,28 +108,28 @@ def vmut_weighted_median(spark, sf):
     return _round(composition.weighted_median(rows(spark, sf, ["specimen_label", "v_mut", "num_reads"]), ["specimen_label"], "v_mut", "num_reads"), "weighted_median")
 
 
-@query(sql("""SELECT p.specimen_label, i.isotype_supergroup, round(coalesce(avg(CASE WHEN r.v_mut >= 0.05::DOUBLE THEN 1.0 WHEN r.v_mut IS NOT NULL THEN 0.0 END), 0.0), 6) AS proportion
+@query(sql("""SELECT p.specimen_label, i.isotype_supergroup, round(coalesce(avg(CASE WHEN r.v_mut >= 0.05::DOUBLE THEN 1.0 WHEN r.v_mut IS NOT NULL THEN 0.0 END), 0.0), 9) AS proportion
   FROM (SELECT DISTINCT specimen_label FROM r) p CROSS JOIN (SELECT DISTINCT isotype_supergroup FROM r) i LEFT JOIN r ON r.specimen_label = p.specimen_label AND r.isotype_supergroup = i.isotype_supergroup GROUP BY 1, 2"""))
 def mutated_share(spark, sf):
     df = rows(spark, sf, ["specimen_label", "isotype_supergroup", "v_mut"])
     return _round(composition.proportion(df, ["specimen_label"], ["isotype_supergroup"], F.col("v_mut") >= 0.05), "proportion")
 
 
-@query(sql("""SELECT specimen_label, isotype_supergroup, round(sum(weight), 6) AS weight, round(min(weight), 9) AS each_weight FROM (
+@query(sql("""SELECT specimen_label, isotype_supergroup, round(sum(weight), 9) AS weight, round(min(weight), 12) AS each_weight FROM (
   SELECT specimen_label, isotype_supergroup, 1.0 / ((SELECT count(DISTINCT q.isotype_supergroup) FROM r q WHERE q.specimen_label = r.specimen_label) * count(*) OVER (PARTITION BY specimen_label, isotype_supergroup)) AS weight FROM r)
   GROUP BY 1, 2"""))
 def isotype_weights(spark, sf):
     out = reads.balanced_weights(rows(spark, sf, ["specimen_label", "isotype_supergroup"]), "specimen_label", "isotype_supergroup")
-    return out.groupBy("specimen_label", "isotype_supergroup").agg(F.round(F.sum("weight"), 6).alias("weight"), F.round(F.min("weight"), 9).alias("each_weight"))
+    return out.groupBy("specimen_label", "isotype_supergroup").agg(F.round(F.sum("weight"), 9).alias("weight"), F.round(F.min("weight"), 12).alias("each_weight"))
 
 
-@query(sql(f""", s AS ({SAMPLED_SQL}) SELECT {CLONE_SQL}, round(total_clone_num_reads / sum(total_clone_num_reads) OVER (PARTITION BY specimen_label), 9) AS weight FROM s"""))
+@query(sql(f""", s AS ({SAMPLED_SQL}) SELECT {CLONE_SQL}, round(total_clone_num_reads / sum(total_clone_num_reads) OVER (PARTITION BY specimen_label), 12) AS weight FROM s"""))
 def clone_size_weights(spark, sf):
-    return _round(reads.share(sampled(spark, sf, []), "total_clone_num_reads", ["specimen_label"]), "weight", digits=9).select(*CLONE, "weight")
+    return _round(reads.share(sampled(spark, sf, []), "total_clone_num_reads", ["specimen_label"]), "weight", digits=12).select(*CLONE, "weight")
 
 
 @query(sql(""", f AS (SELECT disease, v_gene, count(*) / sum(count(*)) OVER (PARTITION BY disease) AS f FROM r GROUP BY 1, 2), t AS (SELECT v_gene, max(f) AS top FROM f GROUP BY 1)
-  SELECT v_gene, round(top, 6) AS top FROM t WHERE top >= (SELECT median(top) FROM t)"""))
+  SELECT v_gene, round(top, 9) AS top FROM t WHERE top >= (SELECT median(top) FROM t)"""))
 def common_v_genes(spark, sf):
     return _round(composition.common_genes(rows(spark, sf, ["disease", "v_gene"]), "v_gene", "disease"), "top")
 
@@ -180,7 +180,7 @@ def exact_match_fisher(spark, sf):
     return _scored(spark, sf, SEQ).select(*SEQ, *[F.round(f"p_{c}", 8).alias(f"p_{c}") for c in CLASSES])
 
 
-_HITS = ", ".join(f"round(sum(CASE WHEN round(\"p_{c}\", 8) <= {P}::DOUBLE THEN 1 ELSE 0 END) * 1000.0 / count(*), 6) AS \"{c}\"" for c in CLASSES)
+_HITS = ", ".join(f"round(sum(CASE WHEN round(\"p_{c}\", 8) <= {P}::DOUBLE THEN 1 ELSE 0 END) * 1000.0 / count(*), 9) AS \"{c}\"" for c in CLASSES)
 
 
 @query(sql(FISHER_SQL + f" , f AS (SELECT specimen_label, {_HITS} FROM (SELECT DISTINCT specimen_label, {SEQ_SQL} FROM r) LEFT JOIN scored USING ({SEQ_SQL}) GROUP BY 1) SELECT * FROM f WHERE " + " + ".join(f'"{c}"' for c in CLASSES) + " > 0"))
@@ -258,9 +258,9 @@ def assigned(spark, sf):
     return clustering.assign(rows(spark, sf, SEQ).distinct(), made, BLOCK, "cdr3_seq_aa_q_trim", 0.85)
 
 
-@query(recursive(ASSIGN_SQL + " SELECT v_gene, j_gene, cdr3_seq_aa_q_trim, nearest, round(distance, 6) AS distance, assigned, round(1 - coalesce(distance, 1.0), 6) AS proximity FROM asg"))
+@query(recursive(ASSIGN_SQL + " SELECT v_gene, j_gene, cdr3_seq_aa_q_trim, nearest, round(distance, 9) AS distance, assigned, round(1 - coalesce(distance, 1.0), 9) AS proximity FROM asg"))
 def nearest_centroid(spark, sf):
-    out = assigned(spark, sf).withColumn("proximity", F.round(clustering.proximity(), 6))
+    out = assigned(spark, sf).withColumn("proximity", F.round(clustering.proximity(), 9))
     return _round(out, "distance").select(*SEQ, "nearest", "distance", "assigned", "proximity")
 
 
@@ -306,7 +306,7 @@ def scores(spark, sf):
 
 
 def _means(expr):
-    return ", ".join(f"round({expr.format(c=c)}, 6) AS {c}" for c in ABC)
+    return ", ".join(f"round({expr.format(c=c)}, 9) AS {c}" for c in ABC)
 
 
 @query(sql(SCORE_SQL + f" SELECT specimen_label, {_means('sum({c} * weight) / sum(weight)')} FROM sc GROUP BY 1"))
@@ -318,7 +318,7 @@ _RANKED = ", ".join(f"row_number() OVER (PARTITION BY specimen_label ORDER BY {c
 _TRIM = "sum(CASE WHEN r{c} > cut AND r{c} <= n - cut THEN {c} * weight END) / sum(CASE WHEN r{c} > cut AND r{c} <= n - cut THEN weight END)"
 
 
-@query(sql(SCORE_SQL + f", k AS (SELECT *, {_RANKED}, count(*) OVER (PARTITION BY specimen_label) AS n, floor(0.1::DOUBLE * count(*) OVER (PARTITION BY specimen_label)) AS cut FROM sc), m AS (SELECT specimen_label, {', '.join(f'{_TRIM.format(c=c)} AS {c}' for c in ABC)} FROM k GROUP BY 1) SELECT specimen_label, round(a / (a + b + c), 6) AS a, round(b / (a + b + c), 6) AS b, round(c / (a + b + c), 6) AS c FROM m"))
+@query(sql(SCORE_SQL + f", k AS (SELECT *, {_RANKED}, count(*) OVER (PARTITION BY specimen_label) AS n, floor(0.1::DOUBLE * count(*) OVER (PARTITION BY specimen_label)) AS cut FROM sc), m AS (SELECT specimen_label, {', '.join(f'{_TRIM.format(c=c)} AS {c}' for c in ABC)} FROM k GROUP BY 1) SELECT specimen_label, round(a / (a + b + c), 9) AS a, round(b / (a + b + c), 9) AS b, round(c / (a + b + c), 9) AS c FROM m"))
 def rollup_trimmed(spark, sf):
     return _round(rollup.trimmed(scores(spark, sf), ["specimen_label"], ABC, "weight", 0.1, TIES), *ABC)
 
@@ -338,10 +338,10 @@ def rollup_entropy(spark, sf):
 
 def _median_sql(c):
     return f"""m{c} AS (SELECT specimen_label, CASE WHEN 2 * upto = total AND after IS NOT NULL THEN (x + after) / 2 ELSE x END AS {c} FROM (SELECT *, sum(w) OVER (PARTITION BY specimen_label ORDER BY x) AS upto, sum(w) OVER (PARTITION BY specimen_label) AS total,
-  lead(x) OVER (PARTITION BY specimen_label ORDER BY x) AS after FROM (SELECT specimen_label, round({c}, 6) AS x, sum(weight) AS w FROM sc GROUP BY 1, 2)) WHERE 2 * upto >= total AND 2 * (upto - w) < total)"""
+  lead(x) OVER (PARTITION BY specimen_label ORDER BY x) AS after FROM (SELECT specimen_label, round({c}, 9) AS x, sum(weight) AS w FROM sc GROUP BY 1, 2)) WHERE 2 * upto >= total AND 2 * (upto - w) < total)"""
 
 
-@query(sql(SCORE_SQL + ", " + ", ".join(map(_median_sql, ABC)) + " SELECT specimen_label, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c FROM ma JOIN mb USING (specimen_label) JOIN mc USING (specimen_label)"))
+@query(sql(SCORE_SQL + ", " + ", ".join(map(_median_sql, ABC)) + " SELECT specimen_label, round(a, 9) AS a, round(b, 9) AS b, round(c, 9) AS c FROM ma JOIN mb USING (specimen_label) JOIN mc USING (specimen_label)"))
 def rollup_median(spark, sf):
     return _round(rollup.medians(_round(scores(spark, sf), *ABC), ["specimen_label"], ABC, "weight"), *ABC)
 
@@ -355,12 +355,12 @@ def _matrix(spark, sf):
     return rollup.rollup_matrix(means, F.col("isotype_supergroup"), ISOTYPES, ABC)
 
 
-@query(sql(RM_SQL + " SELECT specimen_label, " + ", ".join(f'round("{c}|{i}", 6) AS "{c}|{i}"' for c, i in _CELLS) + " FROM mm"))
+@query(sql(RM_SQL + " SELECT specimen_label, " + ", ".join(f'round("{c}|{i}", 9) AS "{c}|{i}"' for c, i in _CELLS) + " FROM mm"))
 def rollup_matrix(spark, sf):
     return _round(_matrix(spark, sf), *[f"{c}|{i}" for c, i in _CELLS])
 
 
-@query(sql(RM_SQL + ", fr AS (SELECT specimen_label, " + ", ".join(f"sum(CASE WHEN isotype_supergroup = '{i}' THEN 1 ELSE 0 END) / count(*) AS \"f_{i}\"" for i in ISOTYPES) + " FROM r GROUP BY 1) SELECT specimen_label, " + ", ".join(f'round(coalesce("{c}|{i}", 1.0 / 3) * "f_{i}", 6) AS "{c}|{i}"' for c, i in _CELLS) + " FROM mm JOIN fr USING (specimen_label)"))
+@query(sql(RM_SQL + ", fr AS (SELECT specimen_label, " + ", ".join(f"sum(CASE WHEN isotype_supergroup = '{i}' THEN 1 ELSE 0 END) / count(*) AS \"f_{i}\"" for i in ISOTYPES) + " FROM r GROUP BY 1) SELECT specimen_label, " + ", ".join(f'round(coalesce("{c}|{i}", 1.0 / 3) * "f_{i}", 9) AS "{c}|{i}"' for c, i in _CELLS) + " FROM mm JOIN fr USING (specimen_label)"))
 def rollup_reweighed(spark, sf):
     counts = composition.wide(rows(spark, sf, ["specimen_label", "isotype_supergroup"]), ["specimen_label"], "isotype_supergroup", ISOTYPES, F.count(F.lit(1)))
     out = rollup.reweighed(_matrix(spark, sf), composition.normalised(counts, ISOTYPES), ISOTYPES, ABC)

@@ -52,10 +52,10 @@ _COUNT = "(length(s) - length(translate(s, '{0}', '')))"
 _HYDRO = " + ".join(f"{_COUNT.format(r)} * {v}::DOUBLE" for r, v in seq.HYDROPATHY.items())
 
 
-@query(sql(f"SELECT s, CAST({_COUNT.format(seq.POSITIVE)} - {_COUNT.format(seq.NEGATIVE)} AS INTEGER) AS charge, round(({_HYDRO}) / {_COUNT.format(seq.AMINO_ACIDS)}, 6) AS hydropathy, CAST(length(s) AS INTEGER) AS n FROM ({_DIST})"))
+@query(sql(f"SELECT s, CAST({_COUNT.format(seq.POSITIVE)} - {_COUNT.format(seq.NEGATIVE)} AS INTEGER) AS charge, round(({_HYDRO}) / {_COUNT.format(seq.AMINO_ACIDS)}, 6) + 0.0 AS hydropathy, CAST(length(s) AS INTEGER) AS n FROM ({_DIST})"))
 def hydropathy(spark, sf):
     s = rows(spark, sf, ["cdr3_seq_aa_q_trim"]).select(F.col("cdr3_seq_aa_q_trim").alias("s")).distinct()
-    return s.select("s", seq.charge("s").alias("charge"), F.round(seq.hydropathy("s"), 6).alias("hydropathy"), F.length("s").alias("n"))
+    return s.select("s", seq.charge("s").alias("charge"), (F.round(seq.hydropathy("s"), 6) + 0.0).alias("hydropathy"), F.length("s").alias("n"))
 
 
 _DNA = "translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
