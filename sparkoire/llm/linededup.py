@@ -16,32 +16,49 @@ LEAST_WORDS = 5
 NEAR_WORDS = 8
 
 
-def halves(h: np.ndarray) -> list[int]:
-    """Keys of the first and last half at the lengths n and n - 1.
+class Stretches:
+    """Hashes of stretches of words of a batch, from running sums: a stretch's hash doesn't depend on its place."""
+
+    def __init__(self, words: np.ndarray, tables: textops.Tables):
+        tables.grow(words.size + 1)
+        self.sums, self.unpowers = np.zeros(words.size + 1, U), tables.unpowers
+        self.down = tables.inverse
+        np.cumsum(words * tables.powers[: words.size], out=self.sums[1:])
+
+    def sealed(self, total: np.ndarray, begin: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+        return textops.splitmix(total * self.unpowers[begin] + textops.splitmix(length.astype(U) + U(seed)))
+
+    def of(self, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        return self.sealed(self.sums[end] - self.sums[begin], begin, end - begin, seed)
+
+    def without(self, begin: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of the stretch with one word left out; the same as of the stretch that is left."""
+        rest = (self.sums[word] - self.sums[begin]) + (self.sums[end] - self.sums[word + 1]) * self.down
+        return self.sealed(rest, begin, end - begin - 1, 0)
+
+
+def halves(stretches: Stretches, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Keys of each line's first and last half, at its length n and at n - 1.
 
     Of two lines within one word edit, the edit lies past the first half or
     before the last half of the shorter length, so they share one of the keys.
     """
-    out = []
-    for n in (h.size, h.size - 1):
-        half = n // 2
-        ends = np.array([textops.sequence(h[:half], 23), textops.sequence(h[h.size - half :], 24)], U)
-        out += textops.splitmix(ends + np.full(2, n, U)).view(np.int64).tolist()
-    return out
-
-
-def variants(h: np.ndarray) -> np.ndarray:
-    """Hash of the line itself, then of it with each one word left out, in order."""
-    n = h.size
-    factors = textops.constants(n, 29) | U(1)
-    whole, shifted = h * factors, np.zeros(n, U)
-    shifted[1:] = h[1:] * factors[:-1]
-    before = np.concatenate([np.zeros(1, U), np.cumsum(whole)])
-    after = np.concatenate([np.cumsum(shifted[::-1])[::-1], np.zeros(1, U)])
-    sums = np.concatenate([before[n:], before[:n] + after[1:]])
-    lengths = np.full(n + 1, n - 1, U)
-    lengths[0] = n
-    return textops.splitmix(sums ^ textops.splitmix(lengths + U(31)))
+    n, out = end - begin, []
+    for length in (n, n - 1):
+        half = length // 2
+        out += [textops.splitmix(h + length.astype(U) * U(4) + U(k)) for k, h in enumerate((stretches.of(begin, begin + half), stretches.of(end - half, end)))]
+    return np.stack(out, axis=1)
+
+
+def variants(stretches: Stretches, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all lines in a row: hash of the line itself, then of it with each one word left out; and how many there are for each."""
+    size = end - begin + 1
+    line = np.repeat(np.arange(begin.size), size)
+    place = np.arange(line.size) - np.repeat(np.cumsum(size) - size, size)
+    word = begin[line] + np.maximum(place - 1, 0)
+    out = stretches.without(begin[line], end[line], word)
+    out[place == 0] = stretches.of(begin, end)
+    return out, size
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -66,19 +83,22 @@ def spread(texts: DataFrame) -> DataFrame:
         for b in batches:
             raw = b.column("raw").to_pylist()
             for lo, hi in textops.steps(raw):
-                rows, numbers, ids, keys = [], [], [], []
-                lines = [(i, n, line) for i in range(lo, hi) for n, line in enumerate(raw[i].split(b"\n"))]
-                hashes, first, _, _ = textops.words([x[2] for x in lines], tables, lower=False)
-                for (i, n, _), p, q in zip(lines, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    if q - p >= LEAST_WORDS:
-                        h = hashes[p:q]
-                        rows.append(i)
-                        numbers.append(n)
-                        ids.append((int(textops.sequence(h, 41)) << 64 | int(textops.sequence(h, 43))).to_bytes(16, "big"))
-                        keys.append(halves(h) if q - p >= NEAR_WORDS else [])
-                at = pa.array(rows, pa.int64())
+                split = [t.split(b"\n") for t in raw[lo:hi]]
+                sizes = np.array([len(x) for x in split])
+                row, number = np.repeat(np.arange(lo, hi), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                words, first, _, _ = textops.words([line for x in split for line in x], tables, lower=False)
+                long = np.flatnonzero(np.diff(first) >= LEAST_WORDS)
+                begin, end = first[:-1][long], first[1:][long]
+                one = Stretches(words, tables)
+                two = Stretches(textops.splitmix(words + U(41)), tables)
+                ids = np.stack([one.of(begin, end, 43), two.of(begin, end, 47)], axis=1).tobytes()
+                keys = halves(one, begin, end).view(np.int64)
+                at, near = pa.array(row[long]), end - begin >= NEAR_WORDS
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(at), b.column("doc").take(at), pa.array(numbers, pa.int32()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    [
+                        b.column("doc_id").take(at), b.column("doc").take(at), pa.array(number[long].astype(np.int32)), pa.array([ids[i : i + 16] for i in range(0, len(ids), 16)], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(4 * near)]).astype(np.int32)), pa.array(keys[near].ravel())),
+                    ],
                     ["doc_id", "doc", "line_no", "line", "keys"],
                 )
 
@@ -92,15 +112,17 @@ def neighbourhoods(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         tables = textops.Tables()
         for b in batches:
-            for raw, want in zip(b.column("raw").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-                lines = raw.split(b"\n")
-                mine = [lines[w["line_no"]] for w in want]
-                hashes, first, _, _ = textops.words(mine, tables, lower=False)
-                keys = [variants(hashes[p:q]).view(np.int64) for p, q in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w["line"] for w in want], pa.binary()), pa.array([b" ".join(m.split()) for m in mine], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["line", "words", "variants"],
-                )
+            raw, wanted = b.column("raw").to_pylist(), b.column("wanted").to_pylist()
+            for lo, hi in textops.steps(raw):
+                ids, mine = [], []
+                for text, want in zip(raw[lo:hi], wanted[lo:hi], strict=True):
+                    lines = text.split(b"\n")
+                    ids += [w["line"] for w in want]
+                    mine += [lines[w["line_no"]] for w in want]
+                words, first, _, _ = textops.words(mine, tables, lower=False)
+                keys, size = variants(Stretches(words, tables), first[:-1], first[1:])
+                lists_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([b" ".join(m.split()) for m in mine], pa.binary()), lists_of], ["line", "words", "variants"])
 
     return texts.join(lists.hint("shuffle_hash"), "doc").select("raw", "wanted").mapInArrow(run, "line binary, words binary, variants array<long>")
 

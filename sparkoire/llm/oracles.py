@@ -38,8 +38,8 @@ FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
 SUFFIXES = f"""
 WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 g AS (SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n, unnest(range(0, CAST(length(h) / 2 AS BIGINT) // {suffix.LENGTH})) AS q FROM h),
-s AS (SELECT doc_id, n, q, substr(h, {2 * suffix.LENGTH} * q + 1, {4 * suffix.LENGTH}) AS part, unnest(range(0, {suffix.LENGTH})) AS j FROM g),
-k AS (SELECT doc_id, {suffix.LENGTH} * q + j AS i, md5(substr(part, 2 * j + 1, {2 * suffix.LENGTH})) AS k FROM s WHERE {suffix.LENGTH} * q + j + {suffix.LENGTH} <= n),
+s AS (SELECT doc_id, n, q, substr(h, {2 * suffix.LENGTH} * q + 1, {4 * suffix.LENGTH}) AS part FROM g),
+k AS (SELECT doc_id, {suffix.LENGTH} * q + j AS i, md5(substr(part, 2 * j + 1, {2 * suffix.LENGTH})) AS k FROM s CROSS JOIN (SELECT unnest(range(0, {suffix.LENGTH})) AS j) WHERE {suffix.LENGTH} * q + j + {suffix.LENGTH} <= n),
 f AS (SELECT doc_id, i FROM k SEMI JOIN (SELECT k FROM k GROUP BY 1 HAVING count(*) > 1) USING (k)),
 b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {suffix.LENGTH} THEN 0 ELSE 1 END AS new FROM f),
 r AS (SELECT doc_id, min(i) AS a, max(i) + {suffix.LENGTH} AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM b) GROUP BY doc_id, part),
