@@ -127,15 +127,18 @@ def neighbourhoods(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(lists.hint("shuffle_hash"), "doc").select("raw", "wanted").mapInArrow(run, "line binary, words binary, variants array<long>")
 
 
-def earlier_neighbours(around: DataFrame) -> DataFrame:
+def earlier_neighbours(around: DataFrame, firsts: DataFrame) -> DataFrame:
     """(line, other): for each line, at most a few earlier lines that may be within one edit, one of them if there is any.
 
-    Lines with one word replaced share the variant without that word and its
-    place; all of them are within one edit of each other, so the earliest will
-    do.  A line and a longer one share the shorter's own hash: the shorter one
-    and the earliest of the longer ones stand for the rest.
+    Most variants belong to one line alone; they are dropped by an aggregate
+    before places are looked up.  Lines with one word replaced share the variant
+    without that word and its place; all of them are within one edit of each
+    other, so the earliest will do.  A line and a longer one share the shorter's
+    own hash: the shorter one and the earliest of the longer ones stand for the rest.
     """
-    emitted = around.select("line", "first", F.posexplode("variants").alias("at", "variant"))
+    every = around.select("line", F.posexplode("variants").alias("at", "variant"))
+    shared = every.groupBy("variant").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x != y").select("variant")
+    emitted = every.join(shared, "variant", "left_semi").join(firsts, "line")
     shorter = emitted.where("at > 0")
     replaced = shorter.groupBy("variant", "at").agg(F.min_by("line", "first").alias("other"), F.count("*").alias("n")).where("n > 1")
     whole = emitted.where("at = 0").select("variant", F.col("line").alias("whole"), F.col("first").alias("whole_first"))
@@ -158,7 +161,8 @@ def repeated_lines(texts: DataFrame, scratch: common.Scratch) -> DataFrame:
     wanted = distinct.join(candidates, "line", "left_semi").select("first.*", "line")
     around = scratch.cut(neighbourhoods(texts, scratch.cut(wanted)))
     scratch.release()
-    pairs = scratch.cut(earlier_neighbours(around.join(distinct.select("line", "first"), "line")))
+    pairs = scratch.cut(earlier_neighbours(around, distinct.select("line", "first")))
+    scratch.release()
     words = around.select("line", "words")
     both = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("others")), "other")
 
