@@ -22,7 +22,7 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, sequence, quality) of four-line records; each file is read whole by one task, as its lines belong together."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("lines"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("lines"))
     at = F.explode(F.sequence(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1))
     rows = whole.where(F.size("lines") >= 4).select("file", "lines", at.alias("i"))
     line = lambda k: F.get("lines", F.col("i") * 4 + k)
@@ -77,7 +77,7 @@ def protein_report(spark: SparkSession, path: str, queries: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array(regions, kind)], ["name", "v_call", "regions"])
 
     schema = "name string, v_call string, regions array<struct<region:string,begin:int,end:int,length:int,identity:double>>"
-    parsed = spark.read.option("wholetext", True).text(path).mapInArrow(run, schema)
+    parsed = spark.read.text(path, wholetext=True).mapInArrow(run, schema)
     total = F.aggregate("regions", F.lit(0.0), lambda s, r: s + r["length"] * r["identity"])
     length = F.aggregate("regions", F.lit(0.0), lambda s, r: s + r["length"])
 
@@ -135,7 +135,7 @@ def nucleotide_report(spark: SparkSession, path: str, locus: str) -> DataFrame:
             rows = [x for text in b.column("value").to_pylist() for x in (nucleotide_block(k, CHAINS[locus]) for k in blocks(text)) if x]
             yield pa.RecordBatch.from_pylist([{c: x.get(c) for c in columns} for x in rows], fields)
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(run, NUCLEOTIDE_SCHEMA)
+    return spark.read.text(path, wholetext=True).mapInArrow(run, NUCLEOTIDE_SCHEMA)
 
 
 def split_at_motif(df: DataFrame, after: str, locus: str) -> DataFrame:
