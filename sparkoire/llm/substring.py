@@ -60,7 +60,7 @@ def runs(hashes: np.ndarray, starts: np.ndarray, tables: textops.Tables) -> Runs
 
 
 def seeds(texts: DataFrame) -> DataFrame:
-    """(anchor, context, doc_id) of every anchor."""
+    """(anchor, context, doc_id) of every anchor, equal ones of a text once."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -70,7 +70,9 @@ def seeds(texts: DataFrame) -> DataFrame:
             for lo, hi in textops.steps(raw):
                 hashes, starts, _, _ = textops.words(raw[lo:hi], tables, lower=False)
                 r = runs(hashes, starts, tables)
-                yield pa.RecordBatch.from_arrays([pa.array(r.anchor.view(np.int64)), pa.array(r.context.view(np.int64)), ids.take(pa.array(r.text + lo))], ["anchor", "context", "doc_id"])
+                # Once for each text: a phrase said over and over has the same anchor each time.
+                once = np.unique(textops.splitmix(r.anchor ^ textops.splitmix(r.context + r.text.astype(U))), return_index=True)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(r.anchor[once].view(np.int64)), pa.array(r.context[once].view(np.int64)), ids.take(pa.array(r.text[once] + lo))], ["anchor", "context", "doc_id"])
 
     return texts.select("doc_id", "raw").mapInArrow(run, f"anchor long, context long, doc_id {kind}")
 
