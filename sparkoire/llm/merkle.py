@@ -133,22 +133,36 @@ def changes(a: str, b: str) -> list[tuple[int, int, int]]:
     x, y = parse(a), parse(b)
     if x.root == y.root:
         return []
-    theirs = Counter(s.digest for s in y.sections)
-    paragraphs = Counter(p for s in y.sections for p in s.paragraphs)
-    stretches = Counter(c for s in y.sections for p in s.paragraphs for c in cells(p))
-    out, number = [], 0
-    for s in x.sections:
-        if theirs[s.digest]:
+    same = Counter(s.digest for s in x.sections) & Counter(s.digest for s in y.sections)
+
+    def rest(tree: Tree) -> list[tuple[int, str]]:
+        """(number, paragraph) of the sections that the other tree lacks."""
+        todo, out, number = same.copy(), [], 0
+        for s in tree.sections:
+            if todo[s.digest]:
+                todo[s.digest] -= 1
+            else:
+                out += [(number + k, p) for k, p in enumerate(s.paragraphs)]
             number += len(s.paragraphs)
+        return out
+
+    mine, theirs = rest(x), rest(y)
+    shared = Counter(p for _, p in mine) & Counter(p for _, p in theirs)
+    left = Counter(p for _, p in theirs) - shared
+    stretches = Counter(c for p, n in left.items() for c in cells(p) for _ in range(n))
+    out = []
+    for number, p in mine:
+        if shared[p]:
+            shared[p] -= 1
             continue
-        for p in s.paragraphs:
-            at = 0
-            for c in cells(p):
-                end = at + int(c[8:], 16)
-                if not paragraphs[p] and not stretches[c]:
-                    out.append((number, at, end))
-                at = end
-            number += 1
+        at = 0
+        for c in cells(p):
+            end = at + int(c[8:], 16)
+            if stretches[c]:
+                stretches[c] -= 1
+            else:
+                out.append((number, at, end))
+            at = end
     return out
 
 

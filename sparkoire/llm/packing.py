@@ -64,9 +64,10 @@ class WordTokenizer:
         known, odd = self.words, []
         for w in {w for w in words if w not in known}:
             core = w.rstrip(".,")
-            if core.isalpha() and (core.isascii() or max(core) < "ɐ"):
+            lower = core.lower()
+            if lower.isalpha() and (core.isascii() or max(core) < "ɐ"):
                 if core not in known:
-                    spelt = core.lower().encode().decode("latin-1").translate(self.letters)
+                    spelt = lower.encode().decode("latin-1").translate(self.letters)
                     known[core] = np.array([x.id for x in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
                 if w != core:
                     points = w[len(core) :]
