@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from . import common, textops
 
 U = np.uint64
-#: Lines of fewer words stay as they are: single words and list marks repeat without being copies.
+#: Words from which on a line may differ by one edit, a fifth of it at most; shorter ones must be equal.
+EDIT_WORDS = 5
+#: Bounds of the DuckDB statement alone, which leaves lines of fewer words out; the operator has neither.
 LEAST_WORDS = 5
-#: Words from which on a line may differ by one edit; shorter ones must be equal, an edit is too much of them.
 NEAR_WORDS = 8
 
 
@@ -75,7 +76,7 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """A row for each line of LEAST_WORDS or more: its place, its identity and the keys of its halves."""
+    """A row for each line that isn't blank: its place, its identity and the keys of its halves."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -87,16 +88,16 @@ def spread(texts: DataFrame) -> DataFrame:
                 sizes = np.array([len(x) for x in split])
                 row, number = np.repeat(np.arange(lo, hi), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 words, first, _, _ = textops.words([line for x in split for line in x], tables, lower=False)
-                long = np.flatnonzero(np.diff(first) >= LEAST_WORDS)
-                begin, end = first[:-1][long], first[1:][long]
+                filled = np.flatnonzero(np.diff(first))
+                begin, end = first[:-1][filled], first[1:][filled]
                 one = Stretches(words, tables)
                 two = Stretches(textops.splitmix(words + U(41)), tables)
                 ids = np.stack([one.of(begin, end, 43), two.of(begin, end, 47)], axis=1).tobytes()
                 keys = halves(one, begin, end).view(np.int64)
-                at, near = pa.array(row[long]), end - begin >= NEAR_WORDS
+                at, near = pa.array(row[filled]), end - begin >= EDIT_WORDS
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id").take(at), b.column("doc").take(at), pa.array(number[long].astype(np.int32)), pa.array([ids[i : i + 16] for i in range(0, len(ids), 16)], pa.binary()),
+                        b.column("doc_id").take(at), b.column("doc").take(at), pa.array(number[filled].astype(np.int32)), pa.array([ids[i : i + 16] for i in range(0, len(ids), 16)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(4 * near)]).astype(np.int32)), pa.array(keys[near].ravel())),
                     ],
                     ["doc_id", "doc", "line_no", "line", "keys"],
@@ -181,11 +182,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows with ``kept_text``, ``n_lines`` and ``n_dropped`` added.
 
     Lines are split at line feeds.  A line goes if an earlier one, in the order
-    (id, md5 of id and text, line number), has the same words, or from NEAR_WORDS
-    words on, if one word inserted, left out or replaced turns one into the
-    other; both are judged on the input.  The earliest stays.  Lines of fewer
-    than LEAST_WORDS words stay.  White space inside a line doesn't count, and
-    kept lines are returned byte for byte.
+    (id, md5 of id and text, line number), has the same words, or if both have
+    EDIT_WORDS words or more and one word inserted, left out or replaced turns
+    one into the other; both are judged on the input.  The earliest stays.  Blank
+    lines stay.  White space inside a line doesn't count, and kept lines are
+    returned byte for byte.
 
     Null text stays null and has no lines; an empty text has one empty line that
     stays.  Null ids sort first.  Rows of one id and text are one document: each
