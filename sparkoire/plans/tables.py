@@ -90,9 +90,9 @@ _KMER = "SELECT DISTINCT {k}, substr(s, CAST(i AS BIGINT), 4) AS m FROM (SELECT
 
 @query(f"WITH q AS ({_KMER.format(k='query_id', w='p_partkey % 10 = 1')}), f AS ({_KMER.format(k='ref_id', w='p_partkey % 10 = 2')}), n AS (SELECT query_id, ref_id, CAST(count(*) AS BIGINT) AS shared FROM q JOIN f USING (m) GROUP BY 1, 2) SELECT query_id, ref_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, ref_id) AS rn FROM n) WHERE rn = 1")
 def kmer_best_hit(spark, sf):
-    p = table(spark, sf, "part").withColumn("sequence", F.substring(dna(), 1, 20))
-    pick = lambda r, name: p.where(F.col("p_partkey") % 10 == r).select(F.col("p_partkey").alias(name), "sequence")
-    return legacy.kmer_best_hit(pick(1, "query_id"), pick(2, "ref_id"), 4)
+    p = table(spark, sf, "part").select("p_partkey", dna().alias("sequence"))
+    named = lambda name: p.withColumnRenamed("p_partkey", name)
+    return legacy.kmer_best_hit(named("query_id"), named("ref_id"))
 
 
 @query("SELECT p_partkey, CAST(tag AS VARCHAR) AS tag FROM (SELECT p_partkey, unnest(list_distinct(list_transform(string_split(p_name, ' '), lambda x: trim(x)))) AS tag FROM part) WHERE tag <> ''")
