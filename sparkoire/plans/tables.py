@@ -80,8 +80,8 @@ def translate_codons(spark, sf):
 
 @query(sql(", d AS (" + _DIST + "), g AS (SELECT s, row_number() OVER (ORDER BY s) AS n FROM d) SELECT a.s AS a, b.s AS b, CAST(hamming(a.s, b.s) AS INTEGER) AS distance, round(hamming(a.s, b.s) / length(a.s)::DOUBLE, 6) AS share FROM d a JOIN d b ON length(a.s) = length(b.s) AND substr(a.s, 1, 2) = substr(b.s, 1, 2) AND a.s < b.s"))
 def hamming_pairs(spark, sf):
-    d = rows(spark, sf, ["cdr3_seq_aa_q_trim"]).select(F.col("cdr3_seq_aa_q_trim").alias("a")).distinct().withColumn("n", F.length("a")).withColumn("p", F.substring("a", 1, 2))
-    pairs = d.join(d.withColumnRenamed("a", "b"), ["n", "p"]).where("a < b")
+    d = rows(spark, sf, ["cdr3_seq_aa_q_trim"]).select(F.col("cdr3_seq_aa_q_trim").alias("a")).distinct().withColumn("n", F.length("a"))
+    pairs = d.join(d.withColumnRenamed("a", "b"), "n").where("a < b")
     return pairs.select("a", "b", seq.hamming("a", "b").alias("distance"), F.round(seq.normalised_hamming("a", "b"), 6).alias("share"))
 
 
@@ -453,7 +453,7 @@ _GERM = "translate(md5(CAST(p_partkey % 50 AS VARCHAR)), '0123456789abcdef', 'AC
 @query(f"SELECT p_type, CAST(i - 1 AS INTEGER) AS at, CAST(sum(CASE WHEN substr(q, i, 1) <> substr(g, i, 1) THEN 1 ELSE 0 END) AS BIGINT) AS mutated, CAST(count(*) AS BIGINT) AS compared FROM (SELECT p_type, {_DNA} AS q, {_GERM} AS g FROM part), generate_series(1, 25) s(i) WHERE substr(g, i, 1) IN ('A', 'C', 'G', 'T') GROUP BY 1, 2")
 def mutation_track(spark, sf):
     germ = F.translate(F.md5((F.col("p_partkey") % 50).cast("string")), "0123456789abcdef", "ACGTACGTACGTAC-.")
-    return legacy.mutation_track(table(spark, sf, "part").select("p_type", dna().alias("q"), germ.alias("g")), "q", "g", ["p_type"], 25)
+    return legacy.mutation_track(table(spark, sf, "part").select("p_type", dna().alias("q"), germ.alias("g")), "q", "g", ["p_type"], 32)
 
 
 @query("SELECT p_type, " + ", ".join(f"CAST(sum((SELECT count(*) FROM generate_series(1, 32) g(i) WHERE substr(s, CAST(i AS BIGINT), {len(m)}) = '{m}')) AS BIGINT) AS {m}" for m in ("AA", "AGC", "TA")) + f" FROM (SELECT p_type, {_DNA} AS s FROM part) GROUP BY 1")
