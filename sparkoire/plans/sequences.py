@@ -246,7 +246,7 @@ def cluster_fisher(spark, sf):
     return _scored(spark, sf, CLUSTER_KEY, df).select(*CLUSTER_KEY, *[F.round(f"p_{c}", 8).alias(f"p_{c}") for c in CLASSES])
 
 
-# Assignment of odd participants' sequences to consensus sequences of all rows whose clone id is even.
+# Assignment of all sequences to all clusters' consensus sequences; the statement takes those of clusters below K alone.
 ASSIGN_SQL = CONSENSUS_SQL + """, tgt AS (SELECT DISTINCT v_gene, j_gene, cdr3_seq_aa_q_trim AS s FROM r),
 d AS (SELECT tgt.v_gene, tgt.j_gene, s, cluster, hamming(s, consensus) / length(s)::DOUBLE AS d FROM tgt JOIN con ON tgt.v_gene = con.v_gene AND tgt.j_gene = con.j_gene AND length(s) = length(consensus) AND substr(cluster, 1, 1) < 'K'),
 near AS (SELECT v_gene, j_gene, s, min(d) AS distance, arg_min(cluster, (d, cluster)) AS nearest FROM d GROUP BY 1, 2, 3),
@@ -254,7 +254,7 @@ asg AS (SELECT tgt.v_gene, tgt.j_gene, tgt.s AS cdr3_seq_aa_q_trim, nearest, dis
 
 
 def assigned(spark, sf):
-    made = clustering.consensus(clustered(spark, sf, ["num_reads"]), CLUSTER_KEY, "cdr3_seq_aa_q_trim", "num_reads").where(F.substring("cluster", 1, 1) < "K")
+    made = clustering.consensus(clustered(spark, sf, ["num_reads"]), CLUSTER_KEY, "cdr3_seq_aa_q_trim", "num_reads")
     return clustering.assign(rows(spark, sf, SEQ).distinct(), made, BLOCK, "cdr3_seq_aa_q_trim", 0.85)
 
 
