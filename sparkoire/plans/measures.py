@@ -35,20 +35,22 @@ def knn_exact(spark, sf):
 @query(f"WITH {_NEAR} SELECT center_id, c.label AS center_label, b.label AS neighbor_label, CAST(count(*) AS BIGINT) AS n FROM nn JOIN e b ON b.vec_id = neighbor_id JOIN e c ON c.vec_id = center_id GROUP BY 1, 2, 3")
 def kbet_counts(spark, sf):
     e = table(spark, sf, "embeddings")
-    return vectors.neighbourhood_counts(vectors.knn(e, 10), e.select("vec_id", "label"), "vec_id", "label")
+    return vectors.neighbourhood_counts(vectors.knn(e, vectors.batch_neighbourhood(e, "label")), e.select("vec_id", "label"), "vec_id", "label")
 
 
 @query(f"WITH {_NEAR}, s AS (SELECT label, count(*) / sum(count(*)) OVER () AS share FROM e GROUP BY 1), n AS (SELECT center_id, b.label, count(*) AS n FROM nn JOIN e b ON b.vec_id = neighbor_id GROUP BY 1, 2) SELECT e.vec_id AS center_id, round(sum(pow(coalesce(n, 0) - 10 * share, 2) / (10 * share)), 6) AS chi_square FROM e CROSS JOIN s LEFT JOIN n ON n.center_id = e.vec_id AND n.label = s.label GROUP BY 1")
 def kbet_chi_square(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     labels = list(range(10))
-    return rounded(vectors.mixing(vectors.knn(e, 10), e, "vec_id", "label", labels).select("center_id", "chi_square"), "chi_square")
+    edges = vectors.knn(e, vectors.batch_neighbourhood(e, "label"))
+    return rounded(vectors.mixing(edges, e, "vec_id", "label", labels).select("center_id", "chi_square"), "chi_square")
 
 
 @query()
 def kbet_rejection(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    return vectors.rejected(vectors.mixing(vectors.knn(e, 10), e, "vec_id", "label", list(range(10))))
+    # The table's label is the batch; it has no second one, so all rows are one label's.
+    return vectors.rejection_rates(e.withColumn("every", F.lit("every")), "label", "every").agg(F.avg("rejection_rate").alias("rejection_rate"))
 
 
 _FREQ_SQL = "f AS (SELECT disease, v_gene, count(*) / sum(count(*)) OVER (PARTITION BY disease) AS f FROM r GROUP BY 1, 2)"
