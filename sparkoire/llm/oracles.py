@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, neardup, secrets, substring, suffix
+from . import neardup, secrets, substring, suffix
 from .sharding import ROUND_A, ROUND_B, ROUND_P, ROUNDS
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -86,15 +86,16 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(y % 24 AS INTEGER) AS shard
 """.replace("t[xor(a, b) & 255 + 1]", "t[(xor(a, b) & 255) + 1]")
 
 
+#: Of the rule itself: blank lines stay, equal lines go, lines of five words on also go if one word's edit makes them an earlier one.
 LINES = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, line, n, list_filter(string_split_regex(line, '{SPACE}'), lambda x: x <> '') AS w FROM l),
 k AS (SELECT doc_id, line, n, len(w) AS m, array_to_string(w, ' ') AS s, w FROM w),
-u AS (SELECT s, any_value(w) AS w, any_value(m) AS m, min((doc_id, n)) AS first FROM k WHERE m >= {linededup.LEAST_WORDS} GROUP BY s),
-v AS (SELECT s, m, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM u, LATERAL (SELECT unnest(range(1, m + 1)) AS i) WHERE m >= {linededup.NEAR_WORDS}),
+u AS (SELECT s, any_value(w) AS w, any_value(m) AS m, min((doc_id, n)) AS first FROM k WHERE m > 0 GROUP BY s),
+v AS (SELECT s, m, first, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v FROM u, LATERAL (SELECT unnest(range(1, m + 1)) AS i) WHERE m >= 5),
 near AS (SELECT s FROM (SELECT s, first, min(first) OVER (PARTITION BY v, i, m) AS low FROM v) WHERE low < first
-  UNION SELECT v.s FROM v JOIN u ON u.s = v.v WHERE u.m >= {linededup.NEAR_WORDS} AND u.first < v.first UNION SELECT u.s FROM v JOIN u ON u.s = v.v WHERE u.m >= {linededup.NEAR_WORDS} AND v.first < u.first),
-j AS (SELECT k.doc_id, k.n, k.line, k.m >= {linededup.LEAST_WORDS} AND ((k.doc_id, k.n) <> u.first OR near.s IS NOT NULL) AS gone FROM k LEFT JOIN u ON u.s = k.s LEFT JOIN near ON near.s = k.s)
+  UNION SELECT v.s FROM v JOIN u ON u.s = v.v WHERE u.m >= 5 AND u.first < v.first UNION SELECT u.s FROM v JOIN u ON u.s = v.v WHERE u.m >= 5 AND v.first < u.first),
+j AS (SELECT k.doc_id, k.n, k.line, k.m > 0 AND ((k.doc_id, k.n) <> u.first OR near.s IS NOT NULL) AS gone FROM k LEFT JOIN u ON u.s = k.s LEFT JOIN near ON near.s = k.s)
 SELECT d.doc_id, CAST(count(j.n) AS BIGINT) AS n_lines, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256
 FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id GROUP BY d.doc_id
