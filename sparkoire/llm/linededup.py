@@ -12,9 +12,6 @@ from . import common, textops
 U = np.uint64
 #: Words from which on a line may differ by one edit, a fifth of it at most; shorter ones must be equal.
 EDIT_WORDS = 5
-#: Bounds of the DuckDB statement alone, which leaves lines of fewer words out; the operator has neither.
-LEAST_WORDS = 5
-NEAR_WORDS = 8
 
 
 class Stretches:
@@ -152,17 +149,28 @@ def earlier_neighbours(around: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def repeated_lines(texts: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(doc, line_no) of the lines that an earlier line equals or nearly equals."""
-    lines = scratch.cut(spread(texts))
+    """(doc, line_no) of the lines that an earlier line equals or nearly equals.
+
+    Each table is deleted as soon as nothing reads it any more, so that few of
+    them lie beside a shuffle of whole texts.
+    """
     place = F.struct("doc_id", "doc", "line_no")
-    distinct = scratch.cut(lines.groupBy("line").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("keys").alias("keys")))
+    lines = scratch.cut(spread(texts))
+    distinct = scratch.cut(lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    scratch.release()
+    again = scratch.cut(lines.join(distinct.where("n > 1").select("line", "first"), "line").where(place != F.col("first")).select("doc", "line_no"))
+    scratch.drop(lines)
+    scratch.release()
     keyed = distinct.select("line", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("line").alias("x"), F.max("line").alias("y")).where("x != y").select("key")
-    candidates = keyed.join(shared, "key", "left_semi").select("line").distinct()
-    wanted = distinct.join(candidates, "line", "left_semi").select("first.*", "line")
-    around = scratch.cut(neighbourhoods(texts, scratch.cut(wanted)))
+    candidates = scratch.cut(keyed.join(shared, "key", "left_semi").select("line").distinct())
+    scratch.release()
+    wanted = scratch.cut(distinct.join(candidates, "line", "left_semi").select("line", "first"))
+    scratch.drop(distinct, candidates)
+    scratch.release()
+    around = scratch.cut(neighbourhoods(texts, wanted.select("line", "first.doc", "first.line_no")))
     scratch.release()
-    pairs = scratch.cut(earlier_neighbours(around, distinct.select("line", "first")))
+    pairs = scratch.cut(earlier_neighbours(around, wanted))
     scratch.release()
     words = around.select("line", "words")
     both = pairs.join(words, "line").join(words.select(F.col("line").alias("other"), F.col("words").alias("others")), "other")
@@ -173,8 +181,8 @@ def repeated_lines(texts: DataFrame, scratch: common.Scratch) -> DataFrame:
             yield b.select(["line"]).filter(pa.array(ok, pa.bool_()))
 
     near = both.select("line", "words", "others").mapInArrow(run, "line binary").distinct()
-    dropped = distinct.join(near, "line", "left_semi").select("first.doc", "first.line_no")
-    again = lines.join(distinct.where("first != last").select("line", "first"), "line").where(place != F.col("first")).select("doc", "line_no")
+    dropped = scratch.cut(wanted.join(near, "line", "left_semi").select("first.doc", "first.line_no"))
+    scratch.drop(wanted, around, pairs)
     return dropped.union(again)
 
 
