@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both write: ``spark.checkpoint.dir``, or a temporary folder where it is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="sparkoire-graph-")
-        atexit.register(shutil.rmtree, _LOCAL["dir"], True)
-    return "file://" + _LOCAL["dir"]
+from ..storage import Scratch
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again, so that iterations don't grow the plan."""
-    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, "graph").cut(df)
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import graph, metrics, models, vectors
 from ..operators import composition as comp
 from ..sources import sequences, sinks, tables
+from ..storage import Scratch
 from ..streaming import counts
 from .catalogue import query
 from .roles import ROLE_SQL, V_GENES, rows, sql
@@ -162,7 +161,7 @@ def scaled_embeddings(spark, sf):
 
 # Readers and writers.
 def _folder(spark):
-    return f"{graph.shared_folder(spark)}/io-{uuid.uuid4().hex}"
+    return Scratch(spark, "io").root
 
 
 @query(f"WITH r AS ({ROLE_SQL}) SELECT DISTINCT participant_label, specimen_label, v_gene, num_reads FROM r")
