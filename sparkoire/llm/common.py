@@ -1,64 +1,11 @@
-"""Shared folders, lineage cuts, row numbering and column checks."""
+"""Row numbering and column checks; written tables come from the library's storage."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (local tests) a temporary folder is made.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="sparkoire-")
-        atexit.register(shutil.rmtree, _LOCAL["dir"], True)
-    return "file://" + _LOCAL["dir"]
-
-
-class Scratch:
-    """Written intermediate tables of one operator run.
-
-    ``cut`` writes a frame to the shared folder and reads it again: lineage ends
-    there, and a lost executor costs a re-read, never a re-run of what came before.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/sparkoire/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Let Spark's cleaner remove shuffle files of finished jobs now, not at its next half-hourly round."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+from ..storage import Scratch
 
 
 def need(df: DataFrame, *names: str) -> None:
