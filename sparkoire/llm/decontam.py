@@ -16,10 +16,8 @@ from . import common, textops
 U = np.uint64
 #: Word edits (inserted, left out, replaced) that a copy may have, as a share of an item's words.
 EDIT_RATE = 0.2
-#: Items of fewer words are phrases that occur by chance; they aren't looked for.
-LEAST_WORDS = 8
 #: Random walks, samples of each walk's embedding, and symbols in a sample.
-#: Measured recall of pairs at the edit bound is over 0.99 (tests/llm/test_decontam.py).
+#: Measured recall of pairs at the edit bound is over 0.99 (tests/llm/test_results.py).
 WALKS, SAMPLES, PLACES = 8, 12, 2
 #: Text of items that one scan of the documents takes along; more items go in further scans.
 BLOCK_BYTES = 16 << 20
@@ -94,6 +92,7 @@ class Index:
     An item of n words may have e = rate * n edits; of its e + 1 disjoint pieces
     of n // (e + 1) words a copy holds one unchanged.  Only item-sized windows
     around such a piece are embedded; no copy within the bound is lost to that.
+    Items too short for an edit are one piece: a copy of them is equal.
     """
 
     def __init__(self, texts: list[bytes], rate: float = EDIT_RATE):
@@ -105,7 +104,7 @@ class Index:
         self.pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
         by_size: dict[int, list[int]] = {}
         for i, h in enumerate(self.items):
-            if h.size >= LEAST_WORDS:
+            if h.size:
                 by_size.setdefault(h.size, []).append(i)
         for n, numbers in by_size.items():
             x = np.stack([self.items[i] for i in numbers])
@@ -211,8 +210,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, i
     memory for items is bounded; no document leaves its task.
 
     Null and empty texts hold nothing.  Null ids of documents or items are
-    returned as they are.  Items that are null, or shorter than LEAST_WORDS,
-    aren't looked for; equal items are each reported.  Of several copies of an
+    returned as they are.  Null items and items without words aren't looked for,
+    short ones are, so a benchmark of single words marks every text that holds
+    one; equal items are each reported.  Of several copies of an
     item the one with the fewest edits is reported, then the first.  Repeated
     rows are each reported.  Empty tables give an empty result.  Further columns
     aren't read.

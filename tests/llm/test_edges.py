@@ -68,6 +68,15 @@ def test_decontamination(edge, empty, items):
     assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 7, 8, 9, 10, 11, None}
 
 
+def test_short_items(spark):
+    """Items of few words are found where they are equal, or within the edit that five words allow."""
+    docs = spark.createDataFrame([(1, "a Red  fox ran"), (2, "the fox"), (3, "one two three four six"), (4, "日本語 x"), (5, "nothing of them"), (6, None)], "doc_id long, text string")
+    few = spark.createDataFrame([(1, "red fox"), (2, "one two three four five"), (3, "日本語"), (4, "  ")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_edits"]) for r in decontam.contaminated(docs, few).collect()}
+    assert got == {(1, 1, 0), (3, 2, 1), (4, 3, 0)}
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, few).collect()} == {2, 5, 6}
+
+
 def test_packing(edge):
     rows = packing.pack(edge, capacity=64, documents=4, attention=64.0 * 64).collect()
     assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(i for i, _ in edge_rows())
