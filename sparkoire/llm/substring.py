@@ -77,8 +77,18 @@ def seeds(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "raw").mapInArrow(run, f"anchor long, context long, doc_id {kind}")
 
 
+def once(anchors: np.ndarray, windows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct (anchor, window) and where each starts; a phrase said over and over is one window."""
+    order = np.lexsort((starts, windows, anchors))
+    a, w = anchors[order], windows[order]
+    new = np.ones(a.size, bool)
+    new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1])
+    heads = np.flatnonzero(new)
+    return a[heads], w[heads], np.split(starts[order], heads[1:]) if heads.size else []
+
+
 def extended(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per text: ranges of repeated windows' starts, and (anchor, window, start) of those yet to be compared."""
+    """Per text: ranges of repeated windows' starts, and (anchor, window, starts) of those yet to be compared, each window of a text once."""
 
     def run(batches):
         tables = textops.Tables()
@@ -99,15 +109,18 @@ def extended(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     ranges.append((np.stack([r.first[own][sure], r.last[own][sure]], axis=1) - base).ravel())
                     first, size = r.first[own][open_], (r.last[own] - r.first[own])[open_] + 1
                     at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if size.size else np.zeros(0, np.int64)
-                    keys.append((np.repeat(anchor[open_], size), grams[at].view(np.int64), at - base))
+                    keys.append(once(np.repeat(anchor[open_], size), grams[at].view(np.int64), at - base))
                 yield pa.RecordBatch.from_arrays(
-                    [docs.slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo), pa.array(ranges, pa.list_(pa.int64())), *[pa.array([k[j] for k in keys], pa.list_(pa.int64())) for j in range(3)]],
+                    [
+                        docs.slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo), pa.array(ranges, pa.list_(pa.int64())),
+                        *[pa.array([k[j] for k in keys], pa.list_(pa.int64())) for j in range(2)], pa.array([k[2] for k in keys], pa.list_(pa.list_(pa.int64()))),
+                    ],
                     ["doc", "doc_id", "ranges", "anchors", "windows", "starts"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     joined = texts.join(wanted.hint("shuffle_hash"), "doc_id").select("doc", "doc_id", "raw", "whole", "part")
-    return joined.mapInArrow(run, f"doc binary, doc_id {kind}, ranges array<long>, anchors array<long>, windows array<long>, starts array<long>")
+    return joined.mapInArrow(run, f"doc binary, doc_id {kind}, ranges array<long>, anchors array<long>, windows array<long>, starts array<array<long>>")
 
 
 def repeats(texts: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -131,7 +144,7 @@ def repeats(texts: DataFrame, scratch: common.Scratch) -> DataFrame:
     windows = spread.select("doc", "doc_id", F.explode(F.arrays_zip("anchors", "windows", "starts")).alias("w")).select("doc", "doc_id", "w.*")
     firsts = windows.groupBy("anchors", "windows").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     later = windows.join(firsts.drop("high"), ["anchors", "windows"]).where(F.col("doc_id") > F.col("low"))
-    starts = later.groupBy("doc").agg(F.collect_set("starts").alias("starts"))  # a document's own windows
+    starts = later.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts"))  # a document's own windows
     out = scratch.cut(spread.select("doc", "ranges").dropDuplicates(["doc"]).join(starts, "doc", "left").where((F.size("ranges") > 0) | F.col("starts").isNotNull()))
     scratch.drop(wanted, spread)
     scratch.release()
