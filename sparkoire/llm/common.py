@@ -47,3 +47,12 @@ def numbered(scratch: Scratch, df: DataFrame, order: list[str], name: str = "rn"
     first = spark.createDataFrame(starts or [(0, 0)], "_piece long, _start long")
     out = pieces.join(F.broadcast(first), "_piece").withColumn(name, F.col("_start") + F.col("_in"))
     return out.drop("_piece", "_in", "_start"), total
+
+
+#: Rows of a few bytes that may be broadcast.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """The narrow frame, marked for broadcast if it's counted to have few rows; else a join shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,9 +1,14 @@
 """Repeated byte strings by suffix arrays, built with the difference-cover algorithm on independent parts.
 
 Every string of LENGTH bytes has its least SEED-gram as its anchor, so equal
-strings meet under equal anchors.  Anchors deal the stretches that may hold a
-repeated string to parts; each part's suffixes are sorted on their own and
-neighbours in that order are compared.
+strings meet under equal anchors.  The strings of one anchor that follow each
+other are a stretch, and all its bytes are the stretch's context.  Stretches of
+anchors that occur once hold nothing that repeats.  Of equal contexts two
+stretches stand for the rest and are compared byte by byte; one of them, and the
+contexts that occur once beside others of their anchor, go on.  Anchors deal
+these to parts; each part's suffixes are sorted on their own, and neighbours in
+that order are compared byte by byte.  Nothing goes that no comparison of bytes
+has found.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ LENGTH = 400
 SEED = 32
 #: Bytes that one suffix array sorts, about; a larger anchor is split by where its strings begin before it.
 PART = 1 << 20
+#: Bytes of an anchor's distinct contexts from which on its strings are told apart one by one.
+HOT = 4 * PART
 
 
 def names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
@@ -32,8 +39,16 @@ def names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
         if (int(key.max(initial=0)) + 1) * width >= 1 << 62:
             key = np.unique(key, return_inverse=True)[1]
         key = key * width + c
-    distinct, rank = np.unique(key, return_inverse=True)
-    return rank.astype(np.int64), distinct.size
+    places = int(key.size).bit_length()
+    if int(key.max(initial=0)) >> (62 - places):
+        distinct, rank = np.unique(key, return_inverse=True)
+        return rank.astype(np.int64), distinct.size
+    # Place and key in one number: sorting numbers is faster than sorting places by them.
+    both = np.sort(key << places | np.arange(key.size))
+    new = np.diff(both >> places, prepend=-1) > 0
+    rank = np.empty(key.size, np.int64)
+    rank[both & ((1 << places) - 1)] = np.cumsum(new) - 1
+    return rank, int(new.sum())
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -178,68 +193,128 @@ def seeds(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "raw").mapInArrow(run, "anchor long, context long, doc binary, at long, first long, last long")
 
 
+def single_strings(texts: DataFrame, hot: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """As `seeds`, of the hot stretches (doc, anchor, at, first, last): each string is a stretch of its own.
+
+    The hash of a string takes the place of its context, so those that occur
+    once fall away before bytes are moved, and two stand for all equal ones.
+    """
+    lists = scratch.cut(hot.groupBy("doc").agg(F.collect_set(F.struct("anchor", "at", "first", "last")).alias("wanted")))  # a document's own stretches
+    texts = texts.join(common.sent_if_small(lists.select("doc")), "doc", "left_semi")
+
+    def run(batches):
+        tables = textops.Tables()
+        for b in batches:
+            docs = b.column("doc")
+            for i, (raw, own) in enumerate(zip(b.column("raw").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
+                sums = textops.prefixes(np.frombuffer(raw, np.uint8), tables.codes, tables)
+                first, last, at, anchor = (np.array([w[k] for w in own], np.int64) for k in ("first", "last", "at", "anchor"))
+                size = last - first + 1
+                begin = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+                place = np.repeat(at, size)
+                strings = (sums[begin + LENGTH] - sums[begin]) * tables.unpowers[begin]
+                context = textops.splitmix(strings + textops.splitmix((place - begin).astype(U) + U(1 << 40)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(anchor, size)), pa.array(context.view(np.int64)), docs.take(pa.array(np.full(begin.size, i))), pa.array(place), pa.array(begin), pa.array(begin)],
+                    ["anchor", "context", "doc", "at", "first", "last"],
+                )
+
+    held = texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "raw", "wanted")
+    return held.mapInArrow(run, "anchor long, context long, doc binary, at long, first long, last long")
+
+
 def sorted_parts(texts: DataFrame, wanted: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(doc, first, last) of repeated strings' begins among the wanted stretches; ``many`` marks stretches that only serve to compare with."""
+    """(anchor, context, low, high): where, counted from the anchor, repeated strings begin in the wanted stretches.
+
+    Two stretches of a context stand for all of them.  ``mixed`` marks those that
+    other contexts of the anchor are compared with.
+    """
     size = F.col("last") - F.col("first") + LENGTH
-    weights = wanted.groupBy("anchor").agg(F.sum(size).alias("bytes"))
-    total = weights.agg(F.sum("bytes")).first()[0] or 0
+    weights = wanted.where("mixed").groupBy("anchor").agg(F.sum(size).alias("bytes"))
+    total = wanted.agg(F.sum(size)).first()[0] or 0
     parts = max(1, -(-total // PART))
-    splits = F.least(F.lit(LENGTH - SEED + 1), F.ceil(F.col("bytes") / PART)).cast("int")
-    cut = wanted.join(weights.select("anchor", splits.alias("splits")), "anchor").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    splits = F.least(F.lit(LENGTH - SEED + 1), F.ceil(F.coalesce("bytes", F.lit(1)) / PART))
     # Equal strings begin as far before their anchor: each split takes a range of that distance.
-    step = F.ceil(F.lit(LENGTH - SEED + 1) / F.col("splits"))
-    nearest, farthest = F.col("split") * step, (F.col("split") + 1) * step - 1
-    cut = (
-        cut.withColumn("from", F.greatest("first", F.col("at") - farthest)).withColumn("to", F.least("last", F.col("at") - nearest)).where(F.col("from") <= F.col("to"))
-        .select("doc", "many", F.col("from").cast("long").alias("first"), F.col("to").cast("long").alias("last"), F.pmod(F.xxhash64("anchor", "split"), F.lit(parts)).alias("part"))
+    cut = wanted.join(weights, "anchor", "left").withColumn("step", F.ceil(F.lit(LENGTH - SEED + 1) / splits))
+    cut = cut.withColumn("split", F.explode(F.sequence(F.floor((F.col("at") - F.col("last")) / F.col("step")), F.floor((F.col("at") - F.col("first")) / F.col("step")))))
+    nearest, farthest = F.col("split") * F.col("step"), (F.col("split") + 1) * F.col("step") - 1
+    key = F.when(F.col("mixed"), F.xxhash64("anchor", "split")).otherwise(F.xxhash64("anchor", "context"))
+    cut = cut.select(
+        "doc", "anchor", "context", "mixed", "at", F.greatest("first", F.col("at") - farthest).cast("long").alias("first"), F.least("last", F.col("at") - nearest).cast("long").alias("last"),
+        F.pmod(key, F.lit(parts)).alias("part"),
     )
-    lists = cut.groupBy("doc").agg(F.collect_list(F.struct("part", "many", "first", "last")).alias("wanted"))  # a document's own stretches
+    lists = cut.groupBy("doc").agg(F.collect_list(F.struct("part", "anchor", "context", "mixed", "at", "first", "last")).alias("wanted"))  # a document's own stretches
 
     def extract(batches):
         for b in batches:
-            for doc, raw, own in zip(*(b.column(c).to_pylist() for c in ("doc", "raw", "wanted")), strict=True):
+            for raw, own in zip(b.column("raw").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([w["part"] for w in own], pa.int64()), pa.array([doc] * len(own), pa.binary()), pa.array([w["many"] for w in own], pa.bool_()),
-                        pa.array([w["first"] for w in own], pa.int64()), pa.array([raw[w["first"] : w["last"] + LENGTH] for w in own], pa.binary()),
+                        pa.array([w["part"] for w in own], pa.int64()), pa.array([w["anchor"] for w in own], pa.int64()), pa.array([w["context"] for w in own], pa.int64()),
+                        pa.array([w["mixed"] for w in own], pa.bool_()), pa.array([w["first"] - w["at"] for w in own], pa.int32()),
+                        pa.array([raw[w["first"] : w["last"] + LENGTH] for w in own], pa.binary()),
                     ],
-                    ["part", "doc", "many", "first", "bytes"],
+                    ["part", "anchor", "context", "mixed", "low", "bytes"],
                 )
 
-    held = texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "raw", "wanted").mapInArrow(extract, "part long, doc binary, many boolean, first long, bytes binary")
+    schema = "part long, anchor long, context long, mixed boolean, low int, bytes binary"
+    held = texts.join(lists.hint("shuffle_hash"), "doc").select("raw", "wanted").mapInArrow(extract, schema)
 
     def run(table):
-        table = table.sort_by([("doc", "ascending"), ("first", "ascending")])
-        data = table.column("bytes").to_pylist()
-        ends = np.cumsum([len(x) for x in data])
-        mask = repeated(b"".join(data), ends)
-        docs, many, firsts = table.column("doc"), table.column("many").to_pylist(), table.column("first").to_pylist()
-        rows, spans, begin = [], [], 0
-        for i, end in enumerate(ends.tolist()):
-            if not many[i]:
-                for a, z in np.flatnonzero(np.diff(np.concatenate([[0], mask[begin:end].astype(np.int8), [0]]))).reshape(-1, 2).tolist():
-                    rows.append(i)
-                    spans.append((firsts[i] + a, firsts[i] + z - 1))
-            begin = end
-        a, z = np.array(spans, np.int64).reshape(-1, 2).T
-        return pa.table({"doc": docs.take(pa.array(rows, pa.int64())), "first": pa.array(a), "last": pa.array(z)})
-
-    return scratch.cut(held.groupBy("part").applyInArrow(run, "doc binary, first long, last long"))
+        table = table.sort_by([("anchor", "ascending"), ("context", "ascending"), ("low", "ascending")])
+        data, low = table.column("bytes").to_pylist(), table.column("low").to_numpy()
+        keys = np.stack([table.column(c).to_numpy() for c in ("anchor", "context", "low")])
+        alike = np.flatnonzero((keys[:, 1:] == keys[:, :-1]).all(axis=0)) + 1
+        twice = np.array([i for i in alike.tolist() if data[i] == data[i - 1]], np.int64)
+        chosen = np.flatnonzero(table.column("mixed").to_numpy(zero_copy_only=False) & ~np.isin(np.arange(len(data)), twice))
+        some = [data[i] for i in chosen.tolist()]
+        ends = np.cumsum([len(x) for x in some], dtype=np.int64)
+        mask = repeated(b"".join(some), ends)
+        # No run goes on into the next stretch: the last places of each have no whole string.
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).reshape(-1, 2)
+        piece = np.searchsorted(ends, edge[:, 0], "right")
+        start = low[chosen[piece]] + edge[:, 0] - np.concatenate([[0], ends[:-1]])[piece]
+        rows = np.concatenate([twice, chosen[piece]])
+        first = np.concatenate([low[twice], start])
+        last = np.concatenate([low[twice] + np.array([len(data[i]) for i in twice.tolist()], np.int64) - LENGTH, start + edge[:, 1] - edge[:, 0] - 1])
+        return pa.table({
+            "anchor": table.column("anchor").take(pa.array(rows)), "context": table.column("context").take(pa.array(rows)),
+            "low": pa.array(first.astype(np.int32)), "high": pa.array(last.astype(np.int32)),
+        })
+
+    return scratch.cut(held.groupBy("part").applyInArrow(run, "anchor long, context long, low int, high int"))
 
 
 def repeats(texts: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(doc, ranges): first and last begins of repeated strings, a list of pairs for each document that has some."""
     found = scratch.cut(seeds(texts))
-    contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at", "first", "last")).alias("one"))
-    contexts = scratch.cut(contexts)
-    met = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum((F.col("n") == 1).cast("long")).alias("single"))
-    # A context that occurs twice is repeated as a whole; under anchors with others, single contexts are sorted among them.
-    open_ = met.where("kinds > 1 and single > 0").select("anchor")
-    wanted = contexts.join(open_, "anchor", "left_semi").select("anchor", "one.*", (F.col("n") > 1).alias("many"))
-    some = sorted_parts(texts, scratch.cut(wanted), scratch)
+    one = F.struct("doc", "at", "first", "last")
+
+    def distinct(stretches: DataFrame) -> DataFrame:
+        n = F.count("*")
+        return scratch.cut(stretches.groupBy("anchor", "context").agg(n.alias("n"), F.min(one).alias("x"), F.when(n > 1, F.max(one)).alias("y")))
+
+    contexts = distinct(found)
+    scratch.release()
+    met = contexts.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.sum(F.col("x.last") - F.col("x.first") + LENGTH).alias("bytes")).where("n > 1")
+    met = scratch.cut(met.select("anchor", (F.col("kinds") > 1).alias("mixed"), (F.col("bytes") > HOT).alias("hot")))
+    scratch.release()
+    shared = contexts.join(met.where("not hot").drop("hot"), "anchor")
+    if not met.where("hot").isEmpty():
+        hot = common.sent_if_small(met.where("hot").select("anchor"))
+        singles = scratch.cut(single_strings(texts, found.join(hot, "anchor").select("doc", "anchor", "at", "first", "last"), scratch))
+        scratch.release()
+        found = found.join(hot, "anchor", "left_anti").unionByName(singles)
+        shared = shared.unionByName(distinct(singles).where("n > 1").withColumn("mixed", F.lit(False)))
+    both = F.explode(F.when(F.col("n") > 1, F.array("x", "y")).otherwise(F.array("x")))
+    wanted = scratch.cut(shared.select("anchor", "context", "mixed", both.alias("one")).select("anchor", "context", "mixed", "one.*"))
+    scratch.drop(contexts)
+    scratch.release()
+    some = sorted_parts(texts, wanted, scratch)
+    scratch.drop(wanted)
     scratch.release()
-    whole = found.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi").select("doc", "first", "last")
-    return scratch.cut(whole.union(some).groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
+    ranges = found.join(some.distinct(), ["anchor", "context"]).select("doc", (F.col("at") + F.col("low")).alias("first"), (F.col("at") + F.col("high")).alias("last"))
+    return scratch.cut(ranges.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("ranges")))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

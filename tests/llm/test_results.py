@@ -89,11 +89,13 @@ def test_suffix_array():
             assert suffix.suffix_array(s).tolist() == sorted(range(n), key=lambda i: s[i:].tolist())
 
 
-def test_splits_of_large_anchors(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [10**9, 4000])
+def test_splits_of_large_anchors(spark, monkeypatch, hot):
     rng = random.Random(4)
     passage = "".join(rng.choice("abcdefg ") for _ in range(900))
     rows = [(i, "".join(rng.choice("xyz ") for _ in range(60 + i)) + passage[: 500 + 9 * i] + "".join(rng.choice("xyz ") for _ in range(70))) for i in range(40)]
     monkeypatch.setattr(suffix, "PART", 2000)
+    monkeypatch.setattr(suffix, "HOT", hot)
     seen = defaultdict(int)
     for _, t in rows:
         for k in range(len(t) - 399):
