@@ -36,6 +36,12 @@ def near_pairs(distinct: DataFrame, keys: list[str], sequence: str, identity: fl
     return near.select(*keys, "a", "b").distinct()
 
 
+def pairwise(distinct: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """(keys, a, b, distance, share) of all pairs a < b of a block: the block's whole distance matrix, for blocks that are known to be small."""
+    pairs = distinct.withColumnRenamed(sequence, "a").join(distinct.withColumnRenamed(sequence, "b"), keys).where("a < b")
+    return pairs.select(*keys, "a", "b", seq.hamming("a", "b").alias("distance"), seq.normalised_hamming("a", "b").alias("share"))
+
+
 def cluster(rows: DataFrame, keys: list[str], sequence: str, identity: float, rule=most_mismatches) -> DataFrame:
     """Rows with ``cluster``, the least sequence of their single-linkage cluster: cutting the tree at a distance leaves connected components.
 

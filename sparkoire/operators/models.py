@@ -12,6 +12,7 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import sequence as seq
 
@@ -61,14 +62,18 @@ def split_scores(train: DataFrame, rows: DataFrame, split: list[str], vector: st
 
     A model is fitted and applied where its split's rows are; the two tables meet by cogroup.
     """
-    scored = rows.select(*ids, *[c for c in split if c not in ids], vector)
+    # Columns of their own: where both tables come from one, Spark mixes up the cogrouped sides' columns.
+    scored = rows.select(*[F.col(c).alias(c) for c in (*ids, *[c for c in split if c not in ids], vector)])
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scored.drop(vector).schema) + ", " + ", ".join(f"`{c}` double" for c in classes)
     names = [f for f in scored.columns if f != vector]
+    empty = pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in scored.drop(vector).schema} | {c: pa.array([], pa.float64()) for c in classes})
 
     def run(known: pa.Table, new: pa.Table) -> pa.Table:
+        if not new.num_rows:
+            return empty
         x = np.array(new.column(vector).to_pylist(), float).reshape(new.num_rows, -1)
         out = dict.fromkeys(classes, pa.nulls(new.num_rows, pa.float64()))
-        if known.num_rows and new.num_rows:
+        if known.num_rows:
             model = fit(np.array(known.column(vector).to_pylist(), float), np.array(known.column(label).to_pylist()), classes)
             p = predict(model, x)
             out = {c: pa.array(p.get(c, np.zeros(new.num_rows))) for c in classes}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sequence as seq
 from ..operators import graph, metrics, models, vectors
 from ..operators import composition as comp
 from ..sources import sequences, sinks, tables
@@ -25,19 +26,28 @@ _V = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 _NEAR = f"""e AS ({_V}), d AS (SELECT a.vec_id AS center_id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY center_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10)"""
 
+# The neighbourhood is a quarter of the mean batch, 10 to 50.
+_MIXED = _NEAR.replace("nn AS", "k AS (SELECT CAST(least(50, greatest(10, count(*)::DOUBLE / count(DISTINCT label) // 4)) AS BIGINT) AS k FROM e),\nnn AS").replace("rank <= 10", "rank <= (SELECT k FROM k)")
+_CHI = f"""{_MIXED}, s AS (SELECT label, count(*) / sum(count(*)) OVER () AS share FROM e GROUP BY 1), n AS (SELECT center_id, b.label, count(*) AS n FROM nn JOIN e b ON b.vec_id = neighbor_id GROUP BY 1, 2),
+chi AS (SELECT e.vec_id AS center_id, sum(pow(coalesce(n, 0) - k * share, 2) / (k * share)) AS chi_square, count(*) - 1 AS df FROM e CROSS JOIN s CROSS JOIN k LEFT JOIN n ON n.center_id = e.vec_id AND n.label = s.label GROUP BY 1)"""
+# The upper tail by the series of the lower incomplete gamma function; then both stages of the step-up procedure.
+_REJECTED = f"""{_CHI}, p AS (SELECT center_id, 1 - (SELECT sum(exp((df / 2.0 + i) * ln(chi_square / 2) - chi_square / 2 - lgamma(df / 2.0 + i + 1))) FROM generate_series(0, 400) g(i)) AS p FROM chi),
+o AS (SELECT p, row_number() OVER (ORDER BY p, center_id) AS rank, count(*) OVER () AS m FROM p), q AS (SELECT 0.05::DOUBLE / 1.05::DOUBLE AS q),
+one AS (SELECT max(CASE WHEN p <= q * rank / m THEN rank ELSE 0 END) AS r1 FROM o, q), two AS (SELECT max(m) AS m, max(r1) AS r1, max(CASE WHEN p <= q * rank / greatest(m - r1, 1) THEN rank ELSE 0 END) AS r2 FROM o, q, one)"""
+
 
 @query(f"WITH {_NEAR} SELECT center_id, neighbor_id, round(distance, 5) AS distance, rank FROM nn")
 def knn_exact(spark, sf):
     return rounded(vectors.knn(table(spark, sf, "embeddings"), 10), "distance", digits=5)
 
 
-@query(f"WITH {_NEAR} SELECT center_id, c.label AS center_label, b.label AS neighbor_label, CAST(count(*) AS BIGINT) AS n FROM nn JOIN e b ON b.vec_id = neighbor_id JOIN e c ON c.vec_id = center_id GROUP BY 1, 2, 3")
+@query(f"WITH {_MIXED} SELECT center_id, c.label AS center_label, b.label AS neighbor_label, CAST(count(*) AS BIGINT) AS n FROM nn JOIN e b ON b.vec_id = neighbor_id JOIN e c ON c.vec_id = center_id GROUP BY 1, 2, 3")
 def kbet_counts(spark, sf):
     e = table(spark, sf, "embeddings")
     return vectors.neighbourhood_counts(vectors.knn(e, vectors.batch_neighbourhood(e, "label")), e.select("vec_id", "label"), "vec_id", "label")
 
 
-@query(f"WITH {_NEAR}, s AS (SELECT label, count(*) / sum(count(*)) OVER () AS share FROM e GROUP BY 1), n AS (SELECT center_id, b.label, count(*) AS n FROM nn JOIN e b ON b.vec_id = neighbor_id GROUP BY 1, 2) SELECT e.vec_id AS center_id, round(sum(pow(coalesce(n, 0) - 10 * share, 2) / (10 * share)), 6) AS chi_square FROM e CROSS JOIN s LEFT JOIN n ON n.center_id = e.vec_id AND n.label = s.label GROUP BY 1")
+@query(f"WITH {_CHI} SELECT center_id, round(chi_square, 6) AS chi_square FROM chi")
 def kbet_chi_square(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     labels = list(range(10))
@@ -45,7 +55,7 @@ def kbet_chi_square(spark, sf):
     return rounded(vectors.mixing(edges, e, "vec_id", "label", labels).select("center_id", "chi_square"), "chi_square")
 
 
-@query()
+@query(f"WITH {_REJECTED} SELECT avg(CASE WHEN r1 = 0 THEN 0 WHEN r1 = m THEN m ELSE r2 END / m) AS rejection_rate FROM two")
 def kbet_rejection(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     # The table's label is the batch; it has no second one, so all rows are one label's.
@@ -133,7 +143,7 @@ def length_weighted_mean(spark, sf):
     return d.groupBy("size").agg(F.round(F.sum(F.col("n_chars") * F.col("doc_id")) / F.sum("n_chars"), 4).alias("mean"), F.round(F.pow(F.lit(2.0), -F.avg("n_chars") / 1000), 6).alias("likelihood"))
 
 
-# Models, rows only.
+# Models; principal components have no statement, tests hold them against a decomposition of the covariance matrix.
 @query()
 def pca_features(spark, sf):
     f = comp.frequencies(rows(spark, sf, ["specimen_label", "v_gene"]), ["specimen_label"], ["v_gene"])
@@ -141,16 +151,26 @@ def pca_features(spark, sf):
     return models.project(models.projection(wide, V_GENES, 3), wide, V_GENES).select("specimen_label", "components")
 
 
-@query()
+_SPLIT = """e AS (SELECT vec_id, vec_id % 3 AS v_gene, 'c' || CAST(label % 3 AS VARCHAR) AS label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
+m AS (SELECT v_gene, label, d, avg(x) AS mean FROM e WHERE vec_id % 2 = 0 AND v_gene < 2 GROUP BY 1, 2, 3),
+t AS (SELECT e.vec_id, e.v_gene, m.label, sum(pow(x - mean, 2)) AS d FROM e JOIN m ON m.v_gene = e.v_gene AND m.d = e.d WHERE vec_id % 2 = 1 GROUP BY 1, 2, 3),
+w AS (SELECT vec_id, label, exp(min(d) OVER (PARTITION BY vec_id) - d) AS w FROM t), p AS (SELECT vec_id, label, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM w)"""
+
+
+@query(f"WITH {_SPLIT} SELECT a.vec_id, a.vec_id % 3 AS v_gene, " + ", ".join(f"round(CASE WHEN a.vec_id % 3 < 2 THEN coalesce((SELECT p FROM p WHERE p.vec_id = a.vec_id AND p.label = '{c}'), 0) END, 6) AS {c}" for c in ("c0", "c1", "c2")) + " FROM embeddings a WHERE a.vec_id % 2 = 1")
 def split_models(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("vec_id") % 3).alias("v_gene"), F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("label"))
-    return models.split_scores(e.where("vec_id % 2 = 0 and v_gene < 2"), e.where("vec_id % 2 = 1"), ["v_gene"], "embedding", "label", ["c0", "c1", "c2"], ["vec_id"])
+    out = models.split_scores(e.where("vec_id % 2 = 0 and v_gene < 2"), e.where("vec_id % 2 = 1"), ["v_gene"], "embedding", "label", ["c0", "c1", "c2"], ["vec_id"])
+    return rounded(out, "c0", "c1", "c2")
 
 
-@query()
+@query(sql("SELECT id AS igh_or_tcrb_clone_id, residue, round(CAST((length(s) - length(replace(s, residue, ''))) / length(s)::DOUBLE AS FLOAT)::DOUBLE, 6) AS share FROM (SELECT DISTINCT igh_or_tcrb_clone_id AS id, cdr3_seq_aa_q_trim AS s FROM r), (SELECT unnest(string_split('" + seq.AMINO_ACIDS + "', '')) AS residue)"))
 def encoder_stub(spark, sf):
     cdr3 = rows(spark, sf, ["igh_or_tcrb_clone_id", "cdr3_seq_aa_q_trim"]).distinct()
-    return models.encode(models.regions(cdr3, "cdr3"), ids=["igh_or_tcrb_clone_id"])
+    encoded = models.encode(models.regions(cdr3, "cdr3"), ids=["igh_or_tcrb_clone_id"])
+    cells = encoded.select("igh_or_tcrb_clone_id", F.posexplode("embedding").alias("at", "share"))
+    letters = F.array(*map(F.lit, seq.AMINO_ACIDS))
+    return rounded(cells.select("igh_or_tcrb_clone_id", F.get(letters, F.col("at")).alias("residue"), F.col("share").cast("double").alias("share")), "share")
 
 
 @query()

@@ -246,9 +246,9 @@ def cluster_fisher(spark, sf):
     return _scored(spark, sf, CLUSTER_KEY, df).select(*CLUSTER_KEY, *[F.round(f"p_{c}", 8).alias(f"p_{c}") for c in CLASSES])
 
 
-# Assignment of all sequences to all clusters' consensus sequences; the statement takes those of clusters below K alone.
+# Assignment of all sequences to all clusters' consensus sequences.
 ASSIGN_SQL = CONSENSUS_SQL + """, tgt AS (SELECT DISTINCT v_gene, j_gene, cdr3_seq_aa_q_trim AS s FROM r),
-d AS (SELECT tgt.v_gene, tgt.j_gene, s, cluster, hamming(s, consensus) / length(s)::DOUBLE AS d FROM tgt JOIN con ON tgt.v_gene = con.v_gene AND tgt.j_gene = con.j_gene AND length(s) = length(consensus) AND substr(cluster, 1, 1) < 'K'),
+d AS (SELECT tgt.v_gene, tgt.j_gene, s, cluster, hamming(s, consensus) / length(s)::DOUBLE AS d FROM tgt JOIN con ON tgt.v_gene = con.v_gene AND tgt.j_gene = con.j_gene AND length(s) = length(consensus)),
 near AS (SELECT v_gene, j_gene, s, min(d) AS distance, arg_min(cluster, (d, cluster)) AS nearest FROM d GROUP BY 1, 2, 3),
 asg AS (SELECT tgt.v_gene, tgt.j_gene, tgt.s AS cdr3_seq_aa_q_trim, nearest, distance, CASE WHEN distance <= 1.0::DOUBLE - 0.85::DOUBLE THEN nearest END AS assigned FROM tgt LEFT JOIN near USING (v_gene, j_gene, s))"""
 

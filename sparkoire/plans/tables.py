@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..checks import checked_join, enrich, shared_join
 from ..functions import sequence as seq
 from ..functions import vocab
-from ..operators import combine, folds, legacy, metadata, reads, windows
+from ..operators import clustering, combine, folds, legacy, metadata, reads, windows
 from ..operators import composition as comp
 from ..schema import SAMPLED, enforce
 from .catalogue import query
@@ -78,17 +78,16 @@ def translate_codons(spark, sf):
     return table(spark, sf, "part").select("p_partkey", seq.translate_codons(dna()).alias("residues"))
 
 
-@query(sql(", d AS (" + _DIST + "), g AS (SELECT s, row_number() OVER (ORDER BY s) AS n FROM d) SELECT a.s AS a, b.s AS b, CAST(hamming(a.s, b.s) AS INTEGER) AS distance, round(hamming(a.s, b.s) / length(a.s)::DOUBLE, 6) AS share FROM d a JOIN d b ON length(a.s) = length(b.s) AND substr(a.s, 1, 2) = substr(b.s, 1, 2) AND a.s < b.s"))
+@query(sql(", d AS (" + _DIST + "), g AS (SELECT s, row_number() OVER (ORDER BY s) AS n FROM d) SELECT a.s AS a, b.s AS b, CAST(hamming(a.s, b.s) AS INTEGER) AS distance, round(hamming(a.s, b.s) / length(a.s)::DOUBLE, 6) AS share FROM d a JOIN d b ON length(a.s) = length(b.s) AND a.s < b.s"))
 def hamming_pairs(spark, sf):
     d = rows(spark, sf, ["cdr3_seq_aa_q_trim"]).select(F.col("cdr3_seq_aa_q_trim").alias("a")).distinct().withColumn("n", F.length("a"))
-    pairs = d.join(d.withColumnRenamed("a", "b"), "n").where("a < b")
-    return pairs.select("a", "b", seq.hamming("a", "b").alias("distance"), F.round(seq.normalised_hamming("a", "b"), 6).alias("share"))
+    return rounded(clustering.pairwise(d, ["n"], "a"), "share").drop("n")
 
 
-_KMER = "SELECT DISTINCT {k}, substr(s, CAST(i AS BIGINT), 4) AS m FROM (SELECT p_partkey AS {k}, substr(" + _DNA + ", 1, 20) AS s FROM part WHERE {w}), generate_series(1, 17) g(i)"
+_KMER = "SELECT DISTINCT {k}, substr(s, CAST(i AS BIGINT), 8) AS m FROM (SELECT p_partkey AS {k}, " + _DNA + " AS s FROM part), generate_series(1, 25) g(i)"
 
 
-@query(f"WITH q AS ({_KMER.format(k='query_id', w='p_partkey % 10 = 1')}), f AS ({_KMER.format(k='ref_id', w='p_partkey % 10 = 2')}), n AS (SELECT query_id, ref_id, CAST(count(*) AS BIGINT) AS shared FROM q JOIN f USING (m) GROUP BY 1, 2) SELECT query_id, ref_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, ref_id) AS rn FROM n) WHERE rn = 1")
+@query(f"WITH q AS ({_KMER.format(k='query_id')}), f AS ({_KMER.format(k='ref_id')}), n AS (SELECT query_id, ref_id, CAST(count(*) AS BIGINT) AS shared FROM q JOIN f USING (m) GROUP BY 1, 2) SELECT query_id, ref_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, ref_id) AS rn FROM n) WHERE rn = 1")
 def kmer_best_hit(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", dna().alias("sequence"))
     named = lambda name: p.withColumnRenamed("p_partkey", name)
@@ -283,12 +282,12 @@ def rank_normalised(spark, sf):
     return e.select("event_id", F.round(F.col("rank") / F.count("*").over(Window.partitionBy("event_type")), 9).alias("r"))
 
 
-@query(sql("SELECT DISTINCT participant_label, arg_min(specimen_label, (abs(d - 15), specimen_label)) AS specimen_label, arg_min(d, (abs(d - 15), specimen_label)) AS day FROM (SELECT participant_label, specimen_label, CAST(date_diff('day', min(order_date) OVER (PARTITION BY participant_label), order_date) % 60 AS INTEGER) AS d FROM r) WHERE d BETWEEN 7 AND 40 GROUP BY participant_label"))
+@query(sql("SELECT DISTINCT participant_label, arg_min(specimen_label, (abs(d - 15), specimen_label, d)) AS specimen_label, arg_min(d, (abs(d - 15), specimen_label, d)) AS day FROM (SELECT participant_label, specimen_label, CAST(date_diff('day', min(order_date) OVER (PARTITION BY participant_label), order_date) % 60 AS INTEGER) AS d FROM r) WHERE d BETWEEN 7 AND 40 GROUP BY participant_label"))
 def peak_timepoint(spark, sf):
     df = rows(spark, sf, ["participant_label", "specimen_label", "order_date"])
     first = F.min("order_date").over(Window.partitionBy("participant_label"))
     days = df.withColumn("day", (F.datediff("order_date", first) % 60)).distinct()
-    return windows.closest(days, ["participant_label"], "day", 15, 7, 40, ["specimen_label"]).select("participant_label", "specimen_label", "day")
+    return windows.closest(days, ["participant_label"], "day", 15, 7, 40, ["specimen_label", "day"]).select("participant_label", "specimen_label", "day")
 
 
 @query("SELECT event_id, min(event_type) OVER (PARTITION BY user_id) IS NOT DISTINCT FROM max(event_type) OVER (PARTITION BY user_id) AS single, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS INTEGER) AS code FROM events")
@@ -450,7 +449,7 @@ def coincidence_score(spark, sf):
 _GERM = "translate(md5(CAST(p_partkey % 50 AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTAC-.')"
 
 
-@query(f"SELECT p_type, CAST(i - 1 AS INTEGER) AS at, CAST(sum(CASE WHEN substr(q, i, 1) <> substr(g, i, 1) THEN 1 ELSE 0 END) AS BIGINT) AS mutated, CAST(count(*) AS BIGINT) AS compared FROM (SELECT p_type, {_DNA} AS q, {_GERM} AS g FROM part), generate_series(1, 25) s(i) WHERE substr(g, i, 1) IN ('A', 'C', 'G', 'T') GROUP BY 1, 2")
+@query(f"SELECT p_type, CAST(i - 1 AS INTEGER) AS at, CAST(sum(CASE WHEN substr(q, i, 1) <> substr(g, i, 1) THEN 1 ELSE 0 END) AS BIGINT) AS mutated, CAST(count(*) AS BIGINT) AS compared FROM (SELECT p_type, {_DNA} AS q, {_GERM} AS g FROM part), generate_series(1, 32) s(i) WHERE substr(g, i, 1) IN ('A', 'C', 'G', 'T') GROUP BY 1, 2")
 def mutation_track(spark, sf):
     germ = F.translate(F.md5((F.col("p_partkey") % 50).cast("string")), "0123456789abcdef", "ACGTACGTACGTAC-.")
     return legacy.mutation_track(table(spark, sf, "part").select("p_type", dna().alias("q"), germ.alias("g")), "q", "g", ["p_type"], 32)
