@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import sequence as seq
+
 
 class CheckFailed(ValueError):
     """A table isn't what the caller said it is."""
@@ -71,3 +73,10 @@ def require_all(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     if not missing.isEmpty():
         raise CheckFailed(f"missing {on}: {[r[0] for r in missing.select(on).limit(5).collect()]}")
     return df.join(keys, on, "left_semi")
+
+
+def unique_slugs(df: DataFrame, column: str, name: str = "slug") -> DataFrame:
+    """File names from labels; two labels of one name raise."""
+    out = df.withColumn(name, seq.slug(column))
+    assert_unique(out.select(column, name).distinct(), [name], "file names")
+    return out

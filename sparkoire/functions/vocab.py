@@ -18,6 +18,14 @@ ISOTYPE_GROUPS = {
 ISOTYPES_KEPT = {"BCR": ("IGHG", "IGHA", "IGHD-M"), "TCR": ("TCRB",)}
 CLONES_REQUIRED = {"IGHG": 100, "IGHA": 100, "IGHD-M": 500, "TCRB": 500}
 V_SCORE_ABOVE = {"BCR": 200.0, "TCR": 80.0}
+SEVERITIES = {
+    "Covid19 - Sero-negative (ICU)": "ICU", "Covid19 - Sero-positive (ICU)": "ICU",
+    "Covid19 - Sero-negative (Admit)": "Admit", "Covid19 - Sero-positive (Admit)": "Admit",
+    "Covid19 - Admit": "Admit", "Covid19 - ICU": "ICU",
+    "Pediatric SLE - nephritis": "Nephritis", "Pediatric SLE - no nephritis": "No nephritis",
+    "SLE Multiple aAbs / SLE dsDNA WITH Nephritis": "Nephritis", "SLE Multiple aAbs / SLE dsDNA WITHOUT Nephritis": "No nephritis",
+    "SLE One aAbs / SLE dsDNA WITH Nephritis": "Nephritis", "SLE One aAbs / SLE dsDNA WITHOUT Nephritis": "No nephritis",
+}
 MIN_CDR3, MIN_ROWS, MUTATED_FROM = 8, 1000, 0.01
 V_RENAMES = {"TRBV12-4": "TRBV12-3", "TRBV6-3": "TRBV6-2"}
 

@@ -92,3 +92,18 @@ def predictive(scored: DataFrame, keys: list[str], p: float, classes: list[str])
 
 def unshared(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other, on, "left_anti")
+
+
+def hit_shares(features: DataFrame, labels: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """(label, class, hits, share): specimens of each label with a hit of each class; specimens without features have none."""
+    every = labels.select("specimen_label", label).join(features, "specimen_label", "left")
+    long = every.select(label, F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.coalesce(F.col(f"`{c}`") > 0, F.lit(False)).cast("long").alias("hit")) for c in classes])).alias("x"))
+    return long.groupBy(label, "x.class").agg(F.sum("x.hit").alias("hits"), F.avg("x.hit").alias("share"))
+
+
+def counts_below(scored: DataFrame, candidates: list[float], classes: list[str]) -> DataFrame:
+    """(p, class, n) for a grid of thresholds, all in one aggregate."""
+    long = scored.select(F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"p_{c}").alias("value")) for c in classes])).alias("x")).select("x.*")
+    wide = long.groupBy("class").agg(*[F.sum((F.col("value") <= p).cast("long")).alias(str(i)) for i, p in enumerate(candidates)])
+    grid = F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"`{i}`").alias("n")) for i, p in enumerate(candidates)])
+    return wide.select("class", F.explode(grid).alias("g")).select("g.p", "class", "g.n")

@@ -79,3 +79,17 @@ def jaccard(rows: DataFrame, item: list[str], owner: str) -> DataFrame:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def random_pairs(items: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
+    """(a, b) of n distinct unordered pairs of keys, the same each time; without a product of all keys.
+
+    Numbers are drawn by hash, four times as many as wanted, and looked up; too few keys give fewer pairs.
+    """
+    numbered = items.select(F.col(key).alias("k")).distinct().withColumn("i", (F.row_number().over(Window.orderBy("k")) - 1).cast("long"))  # a row for each key
+    count = numbered.agg(F.count("*").alias("m"))
+    number = lambda side: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(side), F.lit(seed))), 1, 8), 16, 10).cast("long")
+    drawn = items.sparkSession.range(4 * n).crossJoin(F.broadcast(count)).where("m > 0").select("id", (number("a") % F.col("m")).alias("x"), (number("b") % F.col("m")).alias("y"))
+    pairs = drawn.where("x != y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("id").alias("id")).orderBy("id").limit(n)
+    left, right = numbered.select(F.col("i").alias("x"), F.col("k").alias("a")), numbered.select(F.col("i").alias("y"), F.col("k").alias("b"))
+    return pairs.join(left, "x").join(right, "y").select("a", "b")

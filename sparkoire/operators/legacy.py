@@ -115,3 +115,17 @@ def hotspots(rows: DataFrame, sequence: str, motifs: list[str], group: list[str]
     equals = lambda m: lambda x: x == F.lit(m)
     counts = [F.size(F.filter(seq.kmers(sequence, len(m)), equals(m))) for m in motifs]
     return rows.groupBy(*group).agg(*[F.sum(c).cast("long").alias(m) for m, c in zip(motifs, counts, strict=True)])
+
+
+def junctions(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: mean and median identity, mean N1 and N2 length, mean bases chewed back from V, D (both ends) and J.
+
+    N1 lies between V and D, N2 between D and J, in places of the read; overlaps
+    count as 0.  What a gene lost is what its germline has beyond the aligned part.
+    """
+    between = lambda a, b: F.greatest(F.col(b) - F.col(a) - 1, F.lit(0))
+    lost = {"v": F.col("v_germline_length") - F.col("v_germline_end"), "d5": F.col("d_germline_start") - 1, "d3": F.col("d_germline_length") - F.col("d_germline_end"), "j": F.col("j_germline_start") - 1}
+    return rows.groupBy(*group).agg(
+        F.avg("identity").alias("mean_identity"), F.median("identity").alias("median_identity"),
+        F.avg(between("v_end", "d_start")).alias("n1"), F.avg(between("d_end", "j_start")).alias("n2"), *[F.avg(x).alias(f"chewed_{n}") for n, x in lost.items()],
+    )

@@ -70,6 +70,7 @@ class Target:
         return list(dict.fromkeys([*wanted, self.label]))
 
 
+# Edges of the age bins.
 AGE_EDGES = (0, 20, 30, 40, 50, 60, 70, 80, 100)
 
 
@@ -140,3 +141,16 @@ def specimens(rows: DataFrame, columns: list[str], key: str = "specimen_label")
     out = rows.select(key, *columns).distinct()
     assert_unique(out, [key], "specimen metadata")
     return out
+
+
+def severity(df: DataFrame, subtype: str = "disease_subtype") -> DataFrame:
+    """``disease_severity`` of the subtypes that tell one, null for others."""
+    return df.withColumn("disease_severity", vocab.mapped(subtype, vocab.SEVERITIES, pass_through=False))
+
+
+def one_per_cluster(rows: DataFrame, cluster: str, order: list, constants: dict[str, str], defaults_: dict[str, object]) -> DataFrame:
+    """The first row of each cluster, with constant labels, and defaults where a column is missing or null."""
+    from .windows import first_n
+
+    first = first_n(rows, [cluster], order).withColumns({c: F.lit(v) for c, v in constants.items()})
+    return first.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v) for c, v in defaults_.items()})

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import sequence as seq
+from ..functions import vocab
 
 SPLITS: dict[str, Callable[[], list[Column]]] = {
     "v_j": lambda: [F.col("v_gene"), F.col("j_gene")],
@@ -83,14 +84,84 @@ def split_scores(train: DataFrame, rows: DataFrame, split: list[str], vector: st
 
 
 def model(name: str, **options):
-    """An estimator of the model zoo by name."""
+    """An estimator of the model zoo by name.  ``svm`` and ``boosting`` tell two classes apart; `fit_zoo` wraps them for more."""
     zoo = {
         "lasso": lambda: LogisticRegression(elasticNetParam=1.0, regParam=0.01, **options), "ridge": lambda: LogisticRegression(elasticNetParam=0.0, regParam=0.01, **options),
         "elasticnet": lambda: LogisticRegression(elasticNetParam=0.5, regParam=0.01, **options), "rf": lambda: RandomForestClassifier(seed=0, **options),
+        "svm": lambda: LinearSVC(**options), "boosting": lambda: GBTClassifier(seed=0, maxIter=10, **options),
     }
     return zoo[name]()
 
 
+def feature_vectors(df: DataFrame, vector: str, categories: dict[str, list[str]] | None = None, numbers: list[str] = (), name: str = "features") -> DataFrame:
+    """The vector with one-hot columns of fixed vocabularies and numbers behind it; an unknown category raises, a missing one is all zeros."""
+    hot = [c for column, values in (categories or {}).items() for c in vocab.one_hot(column, values, "")]
+    extra = [F.col(n).cast("double") for n in numbers]
+    parts = [F.transform(vector, lambda x: x.cast("double")), *([F.array(*hot, *extra)] if hot or extra else [])]
+    return df.withColumn(name, F.concat(*parts))
+
+
+def dummy_scores(train: DataFrame, rows: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """Rows with each class's share of the training rows as its score, and the most frequent class (of equal ones the first) as ``predicted``."""
+    counts = train.groupBy(label).agg(F.count("*").alias("n")).collect()  # a row for each class
+    n = {r[0]: r[1] for r in counts}
+    total = sum(n.get(c, 0) for c in classes) or 1
+    shares = {c: F.lit(n.get(c, 0) / total) for c in classes}
+    return rows.withColumns(shares).withColumn("predicted", F.lit(max(classes, key=lambda c: n.get(c, 0))))
+
+
+def fit_zoo(train: DataFrame, vector: str, label: str, classes: list[str], names: list[str]) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """For each name a function that adds ``predicted`` to rows with the vector; training rows are prepared and cached once."""
+    place = {c: float(i) for i, c in enumerate(classes)}
+    as_vector = lambda df: df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    ready = as_vector(train).select("_v", vocab.mapped(label, {c: str(i) for c, i in place.items()}, pass_through=False).cast("double").alias("_y")).where("_y IS NOT NULL").cache()
+    fitted = {}
+    for n in names:
+        estimator = model(n, featuresCol="_v", labelCol="_y", predictionCol="_p")
+        if n in ("svm", "boosting") and len(classes) > 2:
+            estimator = OneVsRest(classifier=estimator, featuresCol="_v", labelCol="_y", predictionCol="_p")
+        fitted[n] = estimator.fit(ready)
+    ready.unpersist()
+    names_of = F.array(*map(F.lit, classes))
+
+    def predictor(m):
+        return lambda rows: m.transform(as_vector(rows)).select(*rows.columns, F.get(names_of, F.col("_p").cast("int")).alias("predicted"))
+
+    return {n: predictor(m) for n, m in fitted.items()}
+
+
+def elastic_path(train: DataFrame, vector: str, target: str, strengths: list[float], mixing: float = 0.5) -> dict[float, Callable[[DataFrame], DataFrame]]:
+    """For each regularisation strength, strongest first, a function that adds ``score``, the probability of target 1."""
+    ready = train.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).select("_v", F.col(target).cast("double").alias("_y")).cache()
+    base = LogisticRegression(elasticNetParam=mixing, featuresCol="_v", labelCol="_y")
+    fitted = {s: base.copy({base.regParam: s}).fit(ready) for s in sorted(strengths, reverse=True)}
+    ready.unpersist()
+
+    def scorer(m):
+        def score(rows):
+            out = m.transform(rows.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
+            return out.select(*rows.columns, F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        return score
+
+    return {s: scorer(m) for s, m in fitted.items()}
+
+
+def one_vs_rest_scores(train: DataFrame, rows: DataFrame, columns: list[str], label: str, negative: str, classes: list[str], contrast: bool = False, name: str = "ridge") -> DataFrame:
+    """Rows with a score for each class but the negative one, by a binary model on that class's own columns.
+
+    The class stands against all others, or with ``contrast`` against the negative class alone; scores aren't normalised.
+    """
+    tables = (one_vs_negative_labels if contrast else one_vs_rest_labels)(train, label, negative, classes)
+    out = rows
+    for c, table in tables.items():
+        own = class_columns(columns, c) or columns
+        vector = F.array(*[F.coalesce(F.col(f"`{x}`").cast("double"), F.lit(0.0)) for x in own])
+        fitted = model(name, featuresCol="_v", labelCol="target").fit(table.select(array_to_vector(vector).alias("_v"), F.col("target").cast("double").alias("target")))
+        scored = fitted.transform(out.withColumn("_v", array_to_vector(vector)))
+        out = scored.select(*out.columns, F.get(vector_to_array("probability"), F.lit(1)).alias(f"score:{c}"))
+    return out
+
+
 def one_vs_rest_labels(df: DataFrame, label: str, negative: str, classes: list[str]) -> dict[str, DataFrame]:
     """Training rows of each class but the negative one: the class against all others."""
     return {c: df.withColumn("target", (F.col(label) == c).cast("int")) for c in classes if c != negative}

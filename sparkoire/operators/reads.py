@@ -128,3 +128,14 @@ def balanced_weights(rows: DataFrame, specimen: str, group: str) -> DataFrame:
 def share(rows: DataFrame, value: str, within: list[str], name: str = "weight") -> DataFrame:
     """Value as a share of its group's total."""
     return rows.withColumn(name, F.col(value) / F.sum(value).over(Window.partitionBy(*within)))
+
+
+def real_families(rows: DataFrame, gene: str = "v_gene") -> DataFrame:
+    """Without V genes of pseudogene families, whose names begin with VH; unknown genes stay."""
+    return rows.where(~F.coalesce(F.col(gene).startswith("VH"), F.lit(False)))
+
+
+def rows_per_specimen(kept: DataFrame, specimens: DataFrame) -> DataFrame:
+    """Rows left of each specimen, 0 where none is."""
+    counts = kept.groupBy("specimen_label").agg(F.count("*").alias("n"))
+    return specimens.select("specimen_label").distinct().join(counts, "specimen_label", "left").select("specimen_label", F.coalesce("n", F.lit(0).cast("long")).alias("n"))

@@ -47,3 +47,19 @@ def one_value(df: DataFrame, group: list[str], column: str, name: str = "single"
 def codes(df: DataFrame, columns: list[str], group: list[str], name: str = "code") -> DataFrame:
     """Dense numbers from 0 of sorted keys."""
     return df.withColumn(name, F.dense_rank().over(_window(group, columns)) - 1)
+
+
+def top_n(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first n rows of all, as a report: each task keeps n."""
+    return df.orderBy(*order).limit(n)
+
+
+def backfilled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing values take the next known one to their right in the row."""
+    return df.withColumns({c: F.coalesce(*columns[i:]) if i + 1 < len(columns) else F.col(c) for i, c in enumerate(columns)})
+
+
+def propagated(df: DataFrame, chosen: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Whether a row's time point is the chosen one; all rows of it are marked."""
+    marks = chosen.select(*keys).distinct().withColumn(name, F.lit(True))
+    return df.join(marks, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))

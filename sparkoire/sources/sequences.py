@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as seq
@@ -21,12 +21,23 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, sequence, quality) of four-line records; each file is read whole by one task, as its lines belong together."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("lines"))
-    at = F.explode(F.sequence(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1))
-    rows = whole.where(F.size("lines") >= 4).select("file", "lines", at.alias("i"))
-    line = lambda k: F.get("lines", F.col("i") * 4 + k)
-    return rows.select("file", F.substring(line(0), F.lit(2), F.length(line(0))).alias("name"), F.upper(line(1)).alias("sequence"), line(3).alias("quality"))
+    """(file, name, sequence, quality) of four-line records whose third line is a plus sign alone.
+
+    Files split between that line and the quality: a piece holds one record's
+    quality and the next one's name and sequence.  Pieces follow each other within
+    a block of the file; the first of each block is looked up by the block before.
+    """
+    pieces = spark.read.option("lineSep", "\n+\n").text(path).select(
+        F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n").alias("lines"),
+    )
+    own = Window.partitionBy("file", "block").orderBy("at")
+    heads = pieces.groupBy("file", "block").agg(F.min_by(F.get("lines", F.lit(0)), "at").alias("head"))
+    after = heads.select("file", "block", F.lead("head").over(Window.partitionBy("file").orderBy("block")).alias("head"))  # a row for each block of a file
+    rows = pieces.withColumn("next", F.lead(F.get("lines", F.lit(0))).over(own)).join(after, ["file", "block"])
+    name, sequence = F.element_at("lines", -2), F.element_at("lines", -1)
+    records = rows.where((F.size("lines") >= 2) & F.coalesce("next", "head").isNotNull())
+    return records.select("file", F.substring(name, F.lit(2), F.length(name)).alias("name"), F.upper(sequence).alias("sequence"), F.coalesce("next", "head").alias("quality"))
 
 
 def member_lists(spark: SparkSession, path: str) -> DataFrame:

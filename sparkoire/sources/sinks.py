@@ -40,3 +40,13 @@ def shared_records(df: DataFrame, block: list[str], sequence: str, ids: Column)
 
 def jdbc(df: DataFrame, url: str, table: str, batch: int = 10_000, **options: str) -> None:
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode("append").save()
+
+
+def embeddings(df: DataFrame, path: str, by: tuple[str, ...] = ("fold_id", "fold_label")) -> None:
+    """Vectors with their metadata as Parquet, a folder for each fold and label."""
+    partitioned(df, path, by)
+
+
+def transforms(model, path: str) -> None:
+    """A fitted scaling or projection, to be read back by ``PipelineModel.load``."""
+    model.write().overwrite().save(path)

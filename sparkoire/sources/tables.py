@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..checks import CheckFailed, require_all
 from ..functions import sequence as seq
-
-#: Spellings of a missing value besides the empty one.
-NULLS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "no data", "unresolved", "-nan", "#N/A")
-#: Columns of which the first that exists is used.
-COUNT_COLUMNS = ("duplicate_count", "consensus_count", "templates", "seq_reads", "reads", "count (templates/reads)", "count (templates)", "count")
-NUCLEOTIDE_COLUMNS = ("sequence", "rearrangement", "nucleotide", "vdj_nt", "cdr3nt")
-AMINO_ACID_COLUMNS = ("cdr3_aa", "junction_aa", "amino_acid", "aminoAcid", "cdr3aa")
+from ..operators.metadata import Target
+
+# Spellings of a missing value, first those of vendors, then those that table readers take for one.
+NULLS = (
+    "no data", "unknown", "unresolved", "na", "null",
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan",
+)
+# Names of vendors' columns; of counts the first without nulls is used, of sequences the first that exists.
+COUNT_COLUMNS = ("count (templates/reads)", "templates", "reads", "seq_reads")
+NUCLEOTIDE_COLUMNS = ("cdr3_rearrangement", "rearrangement", "nucleotide")
+AMINO_ACID_COLUMNS = ("amino_acid", "aminoAcid")
+#: Names in further layouts, used where none of a vendor's is found.
+OTHER_COUNT_COLUMNS = ("duplicate_count", "consensus_count", "count (templates)", "count")
+OTHER_NUCLEOTIDE_COLUMNS = ("sequence", "vdj_nt", "cdr3nt")
+OTHER_AMINO_ACID_COLUMNS = ("cdr3_aa", "junction_aa", "cdr3aa")
 
 
 def participant_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -41,10 +51,12 @@ def first_present(df: DataFrame, names: tuple[str, ...]) -> str:
 
 
 def with_counts(df: DataFrame, expected: bool) -> DataFrame:
-    """``num_reads`` from the first count column that has no nulls; 1 where no counts are expected."""
+    """``num_reads`` from the first count column that has no nulls; 1 where no counts are expected, and then a vendor's count column raises."""
+    present = [c for c in (*COUNT_COLUMNS, *OTHER_COUNT_COLUMNS) if c in df.columns]
     if not expected:
+        if found := [c for c in present if c in COUNT_COLUMNS]:
+            raise CheckFailed(f"unexpected count columns {found}")
         return df.withColumn("num_reads", F.lit(1).cast("long"))
-    present = [c for c in COUNT_COLUMNS if c in df.columns]
     if not present:
         raise CheckFailed("no count column")
     nulls = df.agg(*[F.sum(F.col(f"`{c}`").isNull().cast("long")).alias(f"n{i}") for i, c in enumerate(present)]).first()
@@ -64,8 +76,8 @@ def vdjtools(df: DataFrame) -> DataFrame:
 def common_columns(df: DataFrame, expected_counts: bool) -> DataFrame:
     """sample_name, sequence, amino acids and num_reads whatever the layout."""
     return with_counts(df, expected_counts).select(
-        "sample_name", F.upper(F.col(f"`{first_present(df, NUCLEOTIDE_COLUMNS)}`")).alias("sequence"),
-        seq.trim_sequence(F.col(f"`{first_present(df, AMINO_ACID_COLUMNS)}`")).alias("cdr3_aa"), "num_reads",
+        "sample_name", F.upper(F.col(f"`{first_present(df, NUCLEOTIDE_COLUMNS + OTHER_NUCLEOTIDE_COLUMNS)}`")).alias("sequence"),
+        seq.trim_sequence(F.col(f"`{first_present(df, AMINO_ACID_COLUMNS + OTHER_AMINO_ACID_COLUMNS)}`")).alias("cdr3_aa"), "num_reads",
     )
 
 
@@ -94,6 +106,12 @@ def fold_table(rows: DataFrame, folds: DataFrame, fold_id: int, fold_label: str,
     return rows.join(wanted, key, "left_semi")
 
 
+def fold_embeddings(spark: SparkSession, path: str, folds: DataFrame, fold_id: int, fold_label: str, target: Target, columns: list[str] | None = None) -> DataFrame:
+    """Stored embeddings of a fold's label that count for a target; cached, as models read them again and again."""
+    rows = target.apply(fold_table(spark.read.parquet(path), folds, fold_id, fold_label))
+    return (rows.select(*target.columns(columns)) if columns else rows).cache()
+
+
 def manifest(files: DataFrame, whitelist: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (path) that the whitelist (file_name, ...) names, with its columns; listed names without a file."""
     named = files.withColumn("file_name", F.regexp_extract("path", r"([^/]+)$", 1))
@@ -109,6 +127,31 @@ def known_binders(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return out.where(seq.valid_residues("cdr3") & F.col("v_gene").isNotNull() & F.col("j_gene").isNotNull()).select(*columns).distinct()
 
 
+def antibody_binders(df: DataFrame, target: str, binds: bool = True) -> DataFrame:
+    """Human heavy chains of an antibody database that bind the target, or of which only the opposite is said: genes, CDR3 and chain, distinct.
+
+    Null genes and the placeholder ND leave rows out; what follows a gene in parentheses goes.
+    """
+    positive, negative = ["Binds to", "Neutralising Vs"], ["Doesn't Bind to", "Not Neutralising Vs"]
+    names = lambda columns: reduce(lambda a, b: a | b, [F.lower(F.coalesce(F.col(f"`{c}`"), F.lit(""))).contains(target.lower()) for c in columns])
+    said = names(positive) & ~names(negative[:1]) if binds else names(negative[:1]) & ~names(positive)
+    human = F.col("`Heavy V Gene`").contains("(Human)") & F.col("`Heavy J Gene`").isNotNull()
+    kept = df.where(said & human)
+    for c in ("Heavy J Gene", "CDRH3", "VHorVHH"):
+        kept = kept.where(F.col(f"`{c}`") != "ND")
+    bare = lambda c: F.trim(F.substring_index(F.col(f"`{c}`"), "(", 1))
+    return kept.select(bare("Heavy V Gene").alias("v_gene"), bare("Heavy J Gene").alias("j_gene"), seq.trim_sequence("CDRH3").alias("cdr3"), F.col("VHorVHH").alias("chain")).distinct()
+
+
+def assay_binders(df: DataFrame, column: str = "TCR BioIdentity", antigen: str = "Amino Acids") -> DataFrame:
+    """Binders of a T-cell assay, cdr3+V+J in one column: genes in the common spelling, CDR3 without its end residues, unresolved genes out, distinct."""
+    parts = split_identity(df, column)
+    common = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "^TCR", "TR"), "([VJ])0", "$1"), "-0", "-")
+    out = parts.select(common("v_gene").alias("v_gene"), common("j_gene").alias("j_gene"), seq.strip_ends(seq.trim_sequence("cdr3")).alias("cdr3"), F.col(f"`{antigen}`").alias("antigen"))
+    known = ~F.col("v_gene").isin("unresolved", "X") & ~F.col("j_gene").isin("unresolved", "X") & seq.valid_residues("cdr3")
+    return out.where(known).distinct()
+
+
 def split_identity(df: DataFrame, column: str, separator: str = r"\+") -> DataFrame:
     """cdr3+V+J as three columns."""
     parts = F.split(column, separator)
