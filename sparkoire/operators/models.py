@@ -38,6 +38,17 @@ def project(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFram
     return out.select(*df.columns, vector_to_array("components").alias("components"))
 
 
+def standardisation(train: DataFrame, column: str) -> PipelineModel:
+    """Means and sample standard deviations of the training rows' vectors, as a model that can be stored."""
+    return Pipeline(stages=[StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_z")]).fit(train.select(array_to_vector(F.transform(column, lambda x: x.cast("double"))).alias("_v")))
+
+
+def standardised(model: PipelineModel, df: DataFrame, column: str) -> DataFrame:
+    """Rows with the vector standardised."""
+    out = model.transform(df.withColumn("_v", array_to_vector(F.transform(column, lambda x: x.cast("double")))))
+    return out.withColumn(column, vector_to_array("_z")).select(*df.columns)
+
+
 def scaled_embeddings(train: DataFrame, other: DataFrame, column: str, k: int) -> DataFrame:
     """Embeddings standardised and projected by what the training rows show; the raw column stays."""
     steps = [StandardScaler(withMean=True, withStd=True, inputCol="_v", outputCol="_z"), PCA(k=k, inputCol="_z", outputCol="_p")]
