@@ -3,7 +3,7 @@
 import pytest
 
 from conftest import same
-from sparkoire.plans import catalogue, measures, sequences, tables  # noqa: F401
+from sparkoire.plans import catalogue, layouts, learning, measures, rules, sequences, tables  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
