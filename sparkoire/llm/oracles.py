@@ -119,8 +119,8 @@ SECRETS = f"""
 WITH base AS ({" UNION ALL ".join(span_rows(k, i) for i, k in enumerate(secrets.BASE))}), gen AS ({span_rows(secrets.GENERIC, len(secrets.BASE))}),
 extra AS (SELECT * FROM gen g WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = g.doc_id AND b.a < g.z AND g.a < b.z)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
-own AS (SELECT v, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT (doc_id, coalesce(source, ''))) AS holdings FROM every GROUP BY v),
-j AS (SELECT every.*, owners <= 2 AS live, holdings FROM every JOIN own USING (v) WHERE owners <= 2 OR rank < {len(secrets.BASE)}),
+own AS (SELECT v, count(DISTINCT coalesce(source, '')) AS owners, count(DISTINCT (doc_id, coalesce(source, ''))) AS holdings, count(DISTINCT doc_id) AS places FROM every GROUP BY v),
+j AS (SELECT every.*, owners <= 2 AND places <= 20 AS live, holdings FROM every JOIN own USING (v) WHERE (owners <= 2 AND places <= 20) OR rank < {len(secrets.BASE)}),
 b AS (SELECT doc_id, sum(CASE WHEN rank = 0 THEN 1 ELSE 0 END) AS n0, sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS n1, sum(CASE WHEN rank = 2 THEN 1 ELSE 0 END) AS n2, string_agg({_TEXT}, ',' ORDER BY a, rank, z) AS s FROM base GROUP BY 1),
 t AS (SELECT doc_id, string_agg({_TEXT}, ',' ORDER BY a, rank, z) AS s, sum(CASE WHEN live THEN 1 ELSE 0 END) AS live, sum(CASE WHEN live THEN 0 ELSE 1 END) AS copied, max(holdings) AS most FROM j GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(b.s, '')) AS base_sha256,

@@ -47,12 +47,14 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["end"])), ",")
 
 
-def scan(df: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
+def scan(df: DataFrame, max_owners: int = 2, max_repositories: int = 20, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
     """Per row: counts of base kinds, the base digest, all spans, and how many of them look live or copied.
 
     Candidate values (base and generic) are hashed and counted over the whole
     corpus by distinct repositories and distinct owners.  A value that more than
-    ``max_owners`` owners hold is a copied example; one of few owners looks live.
+    ``max_owners`` owners hold is a copied example, and so is one that few owners
+    hold in more than ``max_repositories`` repositories; one of few owners in few
+    places looks live.
     Generic candidates become spans only if they look live, mix letters and
     digits and overlap no base span; base spans always stay.
 
@@ -81,12 +83,14 @@ def scan(df: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: s
         .withColumn("row", F.monotonically_increasing_id())
     )
     candidates = each.select("row", "repository", "owner", F.explode(F.concat("base", "more")).alias("s")).select("row", "repository", "owner", "s", F.sha2(F.col("s")["value"], 256).alias("hash"))
-    held = candidates.select("hash", "repository", "owner").distinct()
+    held = scratch.cut(candidates.select("hash", "repository", "owner").distinct())
     owners = (
         held.groupBy("hash", "owner").agg(F.count("*").alias("n"))
         .groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_holdings"))
     )
-    judged = candidates.join(owners, "hash").withColumn("live", F.col("n_owners") <= max_owners)
+    repositories = held.groupBy("hash", "repository").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_repositories"))
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
+    judged = candidates.join(owners.join(repositories, "hash"), "hash").withColumn("live", live)
     kept = judged.where(F.col("live") | (F.col("s")["rank"] < len(BASE)))
     by_row = kept.groupBy("row").agg(
         F.collect_list("s").alias("all"), F.sum(F.col("live").cast("long")).alias("n_live"), F.sum((~F.col("live")).cast("long")).alias("n_copied"),
