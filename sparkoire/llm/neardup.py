@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, textops
@@ -276,12 +276,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, miss: float = MISS,
 
 
 def keep_one(df: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The rows of the smallest id of each component; one row, if several share that id.  Rows with null ids stay."""
+    """The rows of the smallest id of each component; the least one by its columns in JSON, if several share that id.  Rows with null ids stay."""
     found = common.Scratch(df.sparkSession, "neardup").cut(near_duplicates(df, threshold).select("doc_id", "kept"))
     kept = found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
     out = df.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
-    if not kept.where("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+    several = kept.where("n > 1").select("doc_id")
+    if not several.isEmpty():
+        order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        least = out.join(several, "doc_id", "left_semi").withColumn("_least", F.row_number().over(order)).where("_least = 1").drop("_least")
+        out = out.join(several, "doc_id", "left_anti").union(least)
     return out.union(df.where(F.col("doc_id").isNull()))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 
 import numpy as np
@@ -82,12 +80,15 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
 
+#: Of a worker process, by path; kept from task to task.
+_KEPT: dict[str, WordTokenizer] = {}
+
+
 def worker_tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process and path, kept from task to task."""
-    kept = sys.modules.setdefault("_sparkoire_worker", types.ModuleType("_sparkoire_worker")).__dict__
-    if path not in kept:
-        kept[path] = WordTokenizer(path)
-    return kept[path]
+    """One for each worker process and path."""
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path)
+    return _KEPT[path]
 
 
 def pieces(texts: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
