@@ -51,12 +51,16 @@ def cluster(rows: DataFrame, keys: list[str], sequence: str, identity: float, ru
     known = F.col(sequence).isNotNull()
     for k in keys:
         known = known & F.col(k).isNotNull()
-    distinct = cut(rows.where(known).select(*keys, sequence).distinct())
-    node = lambda s: F.struct(*[F.col(k) for k in keys], F.length(s).alias("n"), F.col(s).alias("s"))
-    edges = near_pairs(distinct, keys, sequence, identity, rule).select(node("a").alias("a"), node("b").alias("b"))
-    roots = connected(distinct.select(node(sequence).alias("id")), edges)
-    found = roots.select(*[F.col(f"id.{k}").alias(k) for k in keys], F.col("id.s").alias(sequence), F.col("root.s").alias("cluster"))
-    return rows.join(found, [*keys, sequence])
+    # Numbers stand for sequences while components are found: they are written with the rows, so they stay as they are.
+    distinct = cut(rows.where(known).select(*keys, sequence).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    ids = [*keys, sequence]
+    pairs = near_pairs(distinct.drop("_id"), keys, sequence, identity, rule)
+    number = lambda side: distinct.select(*keys, F.col(sequence).alias(side), F.col("_id").alias(f"_{side}"))
+    edges = pairs.join(number("a"), [*keys, "a"]).join(number("b"), [*keys, "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    linked = distinct.join(connected(edges).withColumnRenamed("id", "_id"), "_id", "left").withColumn("_root", F.coalesce("root", "_id"))
+    least = linked.groupBy("_root").agg(F.min(sequence).alias("cluster"))
+    found = cut(linked.join(least, "_root").select(*ids, "cluster"))
+    return rows.join(found, ids)
 
 
 def numbered_clones(rows: DataFrame, keys: list[str], sequence: str, identity: float, person: str) -> DataFrame:

@@ -67,10 +67,17 @@ def permuted_labels(donors: DataFrame, donor: str, label: str, positive: str, se
 
 
 def jaccard(rows: DataFrame, item: list[str], owner: str) -> DataFrame:
-    """(a, b, shared, jaccard) of every pair of owners a < b; owners meet by the items that they share, others are 0."""
+    """(a, b, shared, jaccard) of every pair of owners a < b; owners meet by the items that they share, others are 0.
+
+    Items that the same owners hold are counted together before pairs are made.
+    Owners are few (participants, labels of folds): an item's list of them is no
+    longer than their number, and each pair of them is a row of the result.
+    """
     held = rows.select(*item, owner).distinct()
     sizes = held.groupBy(owner).agg(F.count("*").alias("n"))
-    met = held.withColumnRenamed(owner, "a").join(held.withColumnRenamed(owner, "b"), item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sets = held.groupBy(*item).agg(F.array_sort(F.collect_set(owner)).alias("_owners")).where(F.size("_owners") > 1).groupBy("_owners").agg(F.count("*").alias("_n"))
+    first = sets.select("_n", "_owners", F.posexplode("_owners").alias("_at", "a"))
+    met = first.select("_n", "a", F.explode(F.slice("_owners", F.col("_at") + 2, F.size("_owners"))).alias("b")).groupBy("a", "b").agg(F.sum("_n").alias("shared"))
     one, two = sizes.toDF("a", "n_a"), sizes.toDF("b", "n_b")
     pairs = one.join(two, F.col("a") < F.col("b")).join(met, ["a", "b"], "left")
     shared = F.coalesce("shared", F.lit(0).cast("long"))

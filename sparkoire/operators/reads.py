@@ -67,10 +67,12 @@ def fill_regions(reads: DataFrame, germlines: DataFrame, on: str = "v_call") ->
     return joined.drop("_hit"), missing
 
 
-def count_reads(reads: DataFrame, keys: list[str], order: list[str], keep: list[str], counts: str | None = None) -> DataFrame:
-    """One row for each key: the first in the order, with the number of reads (or the sum of their counts)."""
+def count_reads(reads: DataFrame, keys: list[str], order: list[str], keep: list[str], counts: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+    """One row for each key: the first in the order, with the number of reads (or the sum of their counts), and further sums {name: column}."""
     n = F.sum(counts) if counts else F.count("*")
-    return reads.groupBy(*keys).agg(n.cast("long").alias("num_reads"), F.min_by(F.struct(*keep), F.struct(*order)).alias("_first")).select(*keys, "num_reads", "_first.*")
+    more = [F.sum(c).cast("long").alias(name) for name, c in (sums or {}).items()]
+    first = F.min(F.struct(*order, *[c for c in keep if c not in order])).alias("_first")
+    return reads.groupBy(*keys).agg(n.cast("long").alias("num_reads"), *more, first).select(*keys, "num_reads", *(sums or {}), *[F.col("_first")[c].alias(c) for c in keep])
 
 
 def clone_counts(rows: DataFrame, isotypes: list[str]) -> DataFrame:
@@ -92,10 +94,15 @@ def enough_rows(rows: DataFrame, least: int) -> DataFrame:
     return rows.join(counts, "specimen_label", "left_semi")
 
 
-def mutated_or_other(rows: DataFrame) -> DataFrame:
-    """Without unmutated IGHD-M rows; an unknown mutation rate stays."""
+def still_there() -> Column:
+    """Whether a row isn't an unmutated IGHD-M one; with an unknown mutation rate it stays."""
     unmutated = (F.col("isotype_supergroup") == "IGHD-M") & (F.col("v_mut") < vocab.MUTATED_FROM)
-    return rows.where(~F.coalesce(unmutated, F.lit(False)))
+    return ~F.coalesce(unmutated, F.lit(False))
+
+
+def mutated_or_other(rows: DataFrame) -> DataFrame:
+    """Without unmutated IGHD-M rows."""
+    return rows.where(still_there())
 
 
 def one_per_clone(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -106,12 +113,29 @@ def one_per_clone(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return counted.where("_rank = 1").drop("_rank")
 
 
+def gated_specimens(rows: DataFrame, required: dict[str, int], least_rows: int) -> DataFrame:
+    """Specimens that pass: enough clones of each isotype, and, without unmutated rows, enough rows and still each isotype.
+
+    One aggregate by clone and one of its counts, in place of a join for each rule.
+    """
+    clone = rows.groupBy("specimen_label", "isotype_supergroup", "igh_or_tcrb_clone_id").agg(F.sum(still_there().cast("long")).alias("left"))
+    own = lambda i: F.col("isotype_supergroup") == i
+    known = F.col("igh_or_tcrb_clone_id").isNotNull()
+    counts = clone.groupBy("specimen_label").agg(
+        F.sum("left").alias("left"), *[F.sum((own(i) & known).cast("long")).alias(f"{i}|clones") for i in required],
+        *[F.sum((own(i) & known & (F.col("left") > 0)).cast("long")).alias(f"{i}|left") for i in required],
+    )
+    passes = F.col("left") >= least_rows
+    for i, n in required.items():
+        passes = passes & (F.col(f"`{i}|clones`") >= n) & (F.col(f"`{i}|left`") > 0)
+    return counts.where(passes).select("specimen_label")
+
+
 def sample_clones(rows: DataFrame, required: dict[str, int], least_rows: int, keys: list[str], order: list[Column]) -> DataFrame:
     """The whole gate: isotypes and CDR3 length, clone counts, unmutated rows out, row minimum, one row per clone, all isotypes still there."""
     kept = rows.where(F.col("isotype_supergroup").isin(*required) & (F.length("cdr3_seq_aa_q_trim") >= vocab.MIN_CDR3))
-    kept = enough_rows(mutated_or_other(enough_clones(kept, required)), least_rows)
-    sampled = one_per_clone(kept, keys, order)
-    return enough_clones(sampled, {i: 1 for i in required})
+    passed = kept.join(gated_specimens(kept, required, least_rows), "specimen_label", "left_semi")
+    return one_per_clone(mutated_or_other(passed), keys, order)
 
 
 def row_ids(rows: DataFrame, file: str, order: list[str]) -> DataFrame:

@@ -24,9 +24,8 @@ def ordered(names):
   arg_min(v_mut, ({TIES_SQL})) AS v_mut FROM r GROUP BY ALL"""))
 def num_reads_dedupe(spark, sf):
     df = rows(spark, sf, ["specimen_label", *SEQ, "num_reads", "v_mut", *TIES])
-    once = reads.count_reads(df, ["specimen_label", *SEQ], TIES, ["v_mut"])
-    summed = reads.count_reads(df.withColumnRenamed("num_reads", "n"), ["specimen_label", *SEQ], TIES, ["v_mut"], counts="n").select("specimen_label", *SEQ, F.col("num_reads").alias("total_reads"))
-    return once.join(summed, ["specimen_label", *SEQ]).select("specimen_label", *SEQ, "num_reads", "total_reads", "v_mut")
+    out = reads.count_reads(df.withColumnRenamed("num_reads", "n"), ["specimen_label", *SEQ], TIES, ["v_mut"], sums={"total_reads": "n"})
+    return out.select("specimen_label", *SEQ, "num_reads", "total_reads", "v_mut")
 
 
 SAMPLED_SQL = f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {CLONE_SQL} ORDER BY num_reads DESC, {TIES_SQL}) AS rn,
