@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -50,34 +51,33 @@ class WordTokenizer:
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.words.__getitem__, words))
-
-    def learn(self, words: list[str]) -> None:
         if len(self.words) > REMEMBERED:
             self.words = {"": b""}
-        known, odd = self.words, []
-        for w in {w for w in words if w not in known}:
+        if missing := set(words).difference(self.words):
+            self.learn(missing)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def learn(self, missing: set[str]) -> None:
+        known, tokenize, letters, odd = self.words, self.tokenizer.model.tokenize, self.letters, []
+        for w in missing:
             core = w.rstrip(".,")
             lower = core.lower()
-            if lower.isalpha() and (core.isascii() or max(core) < "ɐ"):
-                if core not in known:
-                    spelt = lower.encode().decode("latin-1").translate(self.letters)
-                    known[core] = np.array([x.id for x in self.tokenizer.model.tokenize(spelt)], "<u4").tobytes()
-                if w != core:
-                    points = w[len(core) :]
-                    if points not in known:
-                        known[points] = self.whole([points])[0]
-                    known[w] = known[core] + known[points]
-            else:
+            if not lower.isalpha() or not (core.isascii() or max(core) < "ɐ"):
                 odd.append(w)
-        known.update(zip(odd, self.whole(odd), strict=True))
+                continue
+            if (ids := known.get(core)) is None:
+                spelt = lower if lower.isascii() else lower.encode().decode("latin-1").translate(letters)
+                ids = known[core] = array("I", [x.id for x in tokenize(spelt)]).tobytes()
+            if w is not core:
+                points = w[len(core) :]
+                if points not in known:
+                    known[points] = self.whole([points])[0]
+                known[w] = ids + known[points]
+        if odd:
+            known.update(zip(odd, self.whole(odd), strict=True))
 
     def whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
 
 #: Of a worker process, by path; kept from task to task.
