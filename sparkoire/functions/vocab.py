@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .sequence import col
 
-# Isotypes by supergroup, the groups kept, thresholds of the data model.
+# Isotypes by supergroup, the groups kept, thresholds of the data model, severities of subtypes.
 ISOTYPE_GROUPS = {
     "IGHA": ("IGHA", "IGHA1", "IGHA2"), "IGHD-M": ("IGHD", "IGHM"), "IGHE": ("IGHE",),
     "IGHG": ("IGHG", "IGHG1", "IGHG2", "IGHG3", "IGHG4"), "TCRB": ("TCRB", "TRBC1", "TRBC2"),
