@@ -204,7 +204,9 @@ def across(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: fl
         texts.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.md5("raw").alias("hash"), "raw")
         .join(nodes.hint("shuffle_hash"), ["id", "hash"]).select("id", "raw", "signature", "bands")
     )
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key")
+    # A hot bucket's members stay where they lie until they are dealt to blocks.
+    sizes = scratch.cut(members.groupBy("key").agg(F.count("*").alias("n")))
+    sized = members.join(common.sent_if_small(sizes), "key")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
     placed = sized.select("key", "id", "component", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.select(
@@ -266,7 +268,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, miss: float = MISS,
     linked = scratch.cut(components(first.union(copies), scratch))
     marked = members.select("key", "id").distinct().join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    second = across(scratch.cut(marked.join(mixed, "key", "left_semi")), nodes, sources, threshold, miss, scratch)
+    second = across(scratch.cut(marked.join(common.sent_if_small(scratch.cut(mixed)), "key", "left_semi")), nodes, sources, threshold, miss, scratch)
     scratch.release()
     if not second.isEmpty():
         linked = scratch.cut(components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second), scratch))
