@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ..operators import folds, models
 from ..operators.metadata import Target
 from ..sources import sequences, sinks, tables
-from ..storage import Scratch
+from ..storage import Scratch, mounted
 from .catalogue import query
 from .roles import ROLE_SQL, rows, sql
 from .tables import _DNA, dna, rounded, table
@@ -206,8 +206,6 @@ def stored_transforms(spark, sf):
 
 @query("SELECT p_partkey, p_brand, p_retailprice FROM part")
 def database_load(spark, sf):
-    url = f"jdbc:derby:memory:{folder(spark).rsplit('/', 1)[1].replace('-', '')};create=true"
-    sinks.jdbc(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice").coalesce(1), url, "loaded", createTableColumnTypes="p_brand VARCHAR(64)")
-    return spark.read.format("jdbc").option("url", url).option("dbtable", "loaded").load().toDF("p_partkey", "p_brand", "p_retailprice")
-
-
+    place = f"{mounted(folder(spark))}/loaded"
+    sinks.embedded(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"), place, "loaded", createTableColumnTypes="p_brand VARCHAR(64)")
+    return tables.database_table(spark, sinks.packed_database(spark, place), "loaded", "p_partkey").toDF("p_partkey", "p_brand", "p_retailprice")

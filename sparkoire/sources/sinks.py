@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import shutil
+import zipfile
+from pathlib import Path
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -39,9 +44,51 @@ def shared_records(df: DataFrame, block: list[str], sequence: str, ids: Column)
 
 
 def jdbc(df: DataFrame, url: str, table: str, batch: int = 10_000, **options: str) -> None:
+    """Rows appended to a table, which is made where it is missing."""
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).options(**options).mode("append").save()
 
 
+def embedded(df: DataFrame, place: str, table: str, **options: str) -> None:
+    """Rows loaded into a new table of an embedded database in a mounted folder.
+
+    One process alone may have such a database open: the driver makes it and takes
+    in the files that executors write, one by one, by the database's own bulk load.
+    A field is quoted, or empty where it is null; numbers, text, dates, times and flags can be loaded.
+    """
+    url, files = f"jdbc:derby:{place};create=true", f"{place}-rows"
+    quoted = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(f"`{c}`").cast("string"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in df.columns]
+    df.select(F.concat_ws(",", *quoted).alias("value")).write.text(files)
+    jdbc(df.where("false"), url, table, **options)
+    connection = df.sparkSession.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        load = connection.prepareCall("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+        load.setString(1, table.upper())
+        for file in sorted(Path(files).glob("part-*")):
+            load.setString(2, str(file))
+            load.execute()
+    finally:
+        connection.close()
+    shutil.rmtree(files)
+
+
+def packed_database(spark: SparkSession, place: str) -> str:
+    """URL of a read-only copy of the embedded database in a mounted folder, for any number of processes at once.
+
+    The database is shut down and its files, stored as they are, become one archive in its place.
+    """
+    try:
+        spark.sparkContext._jvm.java.sql.DriverManager.getConnection(f"jdbc:derby:{place};shutdown=true")
+    except Py4JJavaError as closed:
+        if closed.java_exception.getSQLState() != "08006":
+            raise
+    with zipfile.ZipFile(f"{place}.jar", "w", zipfile.ZIP_STORED) as out:
+        for file in sorted(Path(place).rglob("*")):
+            if file.is_file() and not file.name.endswith(".lck"):
+                out.write(file, Path("db", file.relative_to(place)))
+    shutil.rmtree(place)
+    return f"jdbc:derby:jar:({place}.jar)db"
+
+
 def embeddings(df: DataFrame, path: str, by: tuple[str, ...] = ("fold_id", "fold_label")) -> None:
     """Vectors with their metadata as Parquet, a folder for each fold and label."""
     partitioned(df, path, by)

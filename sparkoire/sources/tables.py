@@ -27,6 +27,16 @@ OTHER_NUCLEOTIDE_COLUMNS = ("sequence", "vdj_nt", "cdr3nt")
 OTHER_AMINO_ACID_COLUMNS = ("cdr3_aa", "junction_aa", "cdr3aa")
 
 
+def database_table(spark: SparkSession, url: str, table: str, key: str, rows: int = 250_000) -> DataFrame:
+    """A database's table, read by ranges of a numeric key, about so many rows each where keys are spread evenly; null keys too."""
+    reader = spark.read.format("jdbc").option("url", url)
+    low, high, n = reader.option("query", f'SELECT MIN("{key}") AS low, MAX("{key}") AS high, COUNT(*) AS n FROM {table}').load().first()
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    if low is None or n <= rows:
+        return reader.load()
+    return reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=-(-n // rows)).load()
+
+
 def participant_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Tab-separated, plain or compressed, one row per read; columns by name, t and f as booleans where ``productive`` is."""
     header = spark.read.option("sep", "\t").option("header", True).csv(path)
