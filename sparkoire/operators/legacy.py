@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as seq
+from ..storage import Scratch
 
 
 def demultiplex(reads: DataFrame, barcodes: DataFrame, start: int, length: int, sequence: str = "sequence") -> DataFrame:
@@ -48,12 +49,60 @@ def isotype_call(reads: DataFrame, upstream: list[tuple[str, str]], tolerance: i
     return reads.withColumn("isosubtype", call)
 
 
+#: Rows up to which a counted list is broadcast.
+SMALL = 100_000
+
+
+def _mer_sets(df: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, mers, n): the n distinct k-mers of all sequences of a key, in order and written without a gap."""
+    mers = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("sequence"), lambda s: seq.kmers(s, k)))))
+    sets = df.where(F.col(key).isNotNull()).groupBy(key).agg(mers.alias("mers")).where(F.size("mers") > 0)
+    return sets.select(key, F.array_join("mers", "").alias("mers"), F.size("mers").alias("n"))
+
+
+def _mers(k: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("mers", i * k + 1, F.lit(k)))
+
+
+def _supersets(queries: DataFrame, references: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(query_id, lower): the least reference, below the one found for a query if there is one, whose larger set holds all of the query's k-mers.
+
+    Such a reference has the query's rarest k-mer, so only those that have it are compared.
+    """
+    counts = references.select(F.explode(_mers(k)).alias("mer")).groupBy("mer").agg(F.count("*").alias("uses"))
+    asked = queries.select("query_id", F.explode(_mers(k)).alias("mer")).join(counts, "mer", "left")
+    rarest = asked.groupBy("query_id").agg(F.min(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "mer")).alias("least"))
+    chosen = scratch.cut(rarest.where("least.uses > 0").join(queries, "query_id").select("query_id", F.col("least.mer").alias("mer"), F.col("ref_id").alias("found"), F.col("n").alias("asked")))
+    holders = references.select("ref_id", "n", F.explode(_mers(k)).alias("mer"))
+    few = chosen.limit(SMALL + 1).count() <= SMALL
+    met = holders.join(F.broadcast(chosen) if few else chosen.hint("merge"), "mer").where((F.col("n") > F.col("asked")) & (F.col("found").isNull() | (F.col("ref_id") < F.col("found"))))
+    pairs = met.select("query_id", "ref_id").join(references.select("ref_id", _mers(k).alias("theirs")).hint("merge"), "ref_id").join(queries.select("query_id", _mers(k).alias("ours")).hint("merge"), "query_id")
+    return pairs.where(F.size(F.array_except("ours", "theirs")) == 0).groupBy("query_id").agg(F.min("ref_id").alias("lower"))
+
+
 def kmer_best_hit(queries: DataFrame, references: DataFrame, k: int = 8) -> DataFrame:
-    """(query_id, ref_id, shared): the reference with most distinct k-mers in common; ties go to the least id."""
-    mers = lambda df, key: df.select(key, F.explode(F.array_distinct(seq.kmers("sequence", k))).alias("kmer"))
-    shared = mers(queries, "query_id").join(mers(references, "ref_id"), "kmer").groupBy("query_id", "ref_id").agg(F.count("*").alias("shared"))
-    order = Window.partitionBy("query_id").orderBy(F.col("shared").desc(), "ref_id")
-    return shared.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    """(query_id, ref_id, shared): the reference with most distinct k-mers in common; ties go to the least id.
+
+    Equal sets are compared once, under their least id.  A query whose whole set is
+    in a reference can't do better: equal sets meet by their k-mers written out, larger
+    ones by the query's rarest k-mer.  Only for the other queries are the shared
+    k-mers counted with every reference that has any.  Rows without an id are left out.
+    """
+    scratch = Scratch(queries.sparkSession, "kmers")
+    named, listed = _mer_sets(queries, "query_id", k), _mer_sets(references, "ref_id", k)
+    refs = scratch.cut(listed.groupBy("mers", "n").agg(F.min("ref_id").alias("ref_id")))
+    asked = named.groupBy("mers", "n").agg(F.min("query_id").alias("query_id"))
+    equal = scratch.cut(asked.join(refs.hint("merge"), ["mers", "n"], "left"))
+    most = refs.agg(F.max("n")).first()[0] or 0
+    larger = _supersets(equal.where(F.col("n") < most), refs, k, scratch)
+    whole = scratch.cut(equal.join(larger.hint("merge"), "query_id", "left").select("query_id", "mers", "n", F.coalesce("lower", "ref_id").alias("ref_id")))
+    rest, out = whole.where("ref_id IS NULL"), whole.where("ref_id IS NOT NULL").select("mers", "ref_id", F.col("n").cast("long").alias("shared"))
+    if not rest.isEmpty():
+        met = rest.select("query_id", F.explode(_mers(k)).alias("mer")).join(refs.select("ref_id", F.explode(_mers(k)).alias("mer")).hint("merge"), "mer")
+        best = met.groupBy("query_id", "ref_id").agg(F.count("*").alias("shared")).groupBy("query_id").agg(F.min(F.struct((-F.col("shared")).alias("less"), "ref_id")).alias("best"))
+        out = out.unionByName(scratch.cut(rest.select("query_id", "mers").join(best.hint("merge"), "query_id").select("mers", "best.ref_id", (-F.col("best.less")).alias("shared"))))
+    scratch.drop(refs, equal)
+    return named.join(out.hint("merge"), "mers").select("query_id", "ref_id", "shared")
 
 
 def attribute_columns(things: DataFrame, attributes: DataFrame, key: str, names: list[str]) -> DataFrame:
